@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglab.llm import dart_dedup, fingerprint, line_runs, mixing, packing, secrets, sharding, topk
+from siglab.llm import dart_dedup, fingerprint, line_runs, mixing, packing, quality, secrets, sharding, topk, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -20,6 +20,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.against_next(_documents(spark, sf_dir))
 
@@ -28,6 +32,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "source", "lang", "n_chars", "text", "repeats_", "copy_", "mixed_at_")
 
@@ -36,6 +44,13 @@ def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_documents(spark, sf_dir))
 
 
+def op6_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _labels(spark, sf_dir)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    scored = quality.score(_documents(spark, sf_dir), labels.filter(~held))
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_dedup.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
@@ -55,7 +70,7 @@ def op10_taat_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_fingerprints, op2_best_fit_packing, op4_poisson_mixing, op5_feistel_shards, op7_dart_near_dedup, op8_secret_ownership, op9_line_runs, op10_taat_topk)
+    listed = (op1_fingerprints, op2_best_fit_packing, op3_toxicity_chain, op4_poisson_mixing, op5_feistel_shards, op6_rff_quality, op7_dart_near_dedup, op8_secret_ownership, op9_line_runs, op10_taat_topk)
     return {f.__name__: f for f in listed}
 
 
