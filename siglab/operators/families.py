@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siglab.config import StrategyConfig
-from siglab.functions import frames
+from siglab.functions import frames, running
 
 
 class Shared:
@@ -35,18 +35,20 @@ class Shared:
 
     def threshold(self, w: int, q: float) -> Column:
         """The q-quantile of the volatilities so far, once there are w of them."""
-        vol = self.volatility(w)
-        seen = frames.upto(self.keys)
-        return self._own(self.second, f"_thr_{w}_{str(q).replace('.', '_')}", lambda: F.when(F.count(vol).over(seen) >= w, F.percentile(vol, F.lit(q)).over(seen)))
+        self.volatility(w)
+        name = f"_thr_{w}_{str(q).replace('.', '_')}"
+        self.second[name] = (f"_vol_ret_{w}", w, q)
+        return F.col(name)
 
     def _own(self, at: dict, name: str, make: Callable[[], Column]) -> Column:
         at.setdefault(name, make)
         return F.col(name)
 
     def add(self, df: DataFrame) -> DataFrame:
-        for group in (self.first, self.second):
-            if group:
-                df = df.withColumns({name: make() for name, make in group.items()})
+        if self.first:
+            df = df.withColumns({name: make() for name, make in self.first.items()})
+        for name, (value, least, q) in self.second.items():
+            df = running.with_quantile(df, value, q, least, name, self.keys)
         return df
 
 
