@@ -17,6 +17,7 @@ from siglab.functions import frames
 from siglab.operators import attribution, costs, families, features, robustness, scorecard, views
 from siglab.plans import engine, sweep
 from siglab.sources import gates, walks
+from siglab.streaming import bars as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -405,6 +406,11 @@ def orders_kpis(spark, sf_dir):
     return scorecard.kpis(engine.bars(walks.orders_panel(spark, sf_dir), BASE, components=False), RUN)
 
 
+@query(f"""SELECT event_type AS series_id, time_bucket(INTERVAL 1 HOUR, ts) AS ts, count(*) AS n, arg_max(value, (ts, event_id)) AS close, min(value) AS low, max(value) AS high, {T.r('avg(value)', 'mean')} FROM events GROUP BY ALL""")
+def event_bars(spark, sf_dir):
+    return streaming.bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidate strategies over the panel, best first."""
     return QUERIES["config_sweep"](spark, sf_dir)

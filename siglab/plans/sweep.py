@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siglab.config import IDENTITY, StrategyConfig, candidates, grid
+from siglab.errors import ValidationError
 from siglab.functions import frames
 from siglab.operators import scorecard
 from siglab.plans import engine
@@ -98,7 +99,7 @@ def walk_forward(panel: DataFrame, configs: Sequence[StrategyConfig] | None = No
             raise ValueError(f"Need at least train_size + test_size = {train_size + test_size} rows for walk-forward validation, got {shortest}.")
         need = max(c.warmup for c in configs) + 2
         if train_size < need:
-            raise ValueError(f"Insufficient rows: need at least {need}, got {train_size}.")
+            raise ValidationError(f"Insufficient rows: need at least {need}, got {train_size}.")
     own = [*keys, "fold"]
     split_ = folds(panel.select(*keys, "ts", "close"), train_size, test_size, keys)
     spans = split_.groupBy(*own).agg(F.min(F.when(F.col("part") == "train", F.col("ts"))).alias("_a"), F.max(F.when(F.col("part") == "train", F.col("ts"))).alias("_b"), F.max("ts").alias("_c"))

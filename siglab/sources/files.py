@@ -65,7 +65,7 @@ def load(raw: DataFrame, date_column: str | None = None, close_column: str = "cl
     kept = [c for c in OPTIONAL if c in lowered]
     number = lambda c: F.nanvl(F.expr(f"try_cast(`{c}` AS double)"), F.lit(None).cast("double"))
     frame = raw.select(series.alias("series_id"), F.expr(f"coalesce(try_cast(`{date_column}` AS timestamp), try_cast(`{date_column}` AS date))").alias("ts"), number(close_column).alias("close"), *(number(lowered[c]).alias(c) for c in kept))
-    gates = frame.agg(F.count("*").alias("n"), F.count_if(F.col("ts").isNull()).alias("bad"), F.count_if("close is null").alias("missing"), F.count_if("close <= 0").alias("low")).first()
+    gates = frame.agg(F.count("*").alias("n"), F.count_if(F.col("ts").isNull()).alias("bad"), F.count_if(F.col("close").isNull()).alias("missing"), F.count_if(F.col("close") <= 0).alias("low")).first()
     if not gates.n:
         raise ValueError("The CSV contained no rows.")
     if gates.bad:
