@@ -39,12 +39,11 @@ def law(mean: float) -> list[float]:
     if not mean > 0:
         return []
     term, total, out = math.exp(-mean), 0.0, []
-    if term == 0.0:
-        raise ValueError("a mean repetition rate above 700 is not supported")
     while len(out) < mean or term > 1e-17:
         total += term
         out.append(total)
-        term *= mean / len(out)
+        # From a mean of 700 the first terms underflow, so each is computed by itself.
+        term = term * mean / len(out) if mean < 700 else math.exp(len(out) * math.log(mean) - mean - math.lgamma(len(out) + 1))
     return out
 
 
