@@ -17,12 +17,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain finds toxic go. Only the labels come from ``sf_dir``.
-
-    Rows that repeat a doc_id share their fate: if one is toxic, all of them go. Rows without a doc_id stay.
-    """
-    rejected = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("toxic = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that the classifier chain finds toxic go, each by its own text. Only the labels come from ``sf_dir``."""
+    scored = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=COLUMNS)
+    return scored.filter("toxic = 0").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

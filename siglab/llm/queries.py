@@ -89,6 +89,29 @@ SELECT doc_id, source, lang, n_chars, text, repeats_::integer AS repeats_, copy_
 FROM drawn, LATERAL (SELECT unnest(range(0, repeats_)) AS copy_)
 """
 
+def _matches(kind: int, pattern: str, group: int, keep: str = "true") -> str:
+    """Spans of one kind: the lengths of what is between matches and of matches, added up."""
+    p = pattern.replace("'", "''")
+    return f"""SELECT r, owner, repo, {kind} AS kind, start, start + length(whole) AS stop, val FROM (
+ SELECT *, sum(length(gap)) OVER (PARTITION BY r ORDER BY i) + coalesce(sum(length(whole)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM (
+  SELECT r, owner, repo, unnest(w) AS whole, unnest(v) AS val, unnest(g[1:len(w)]) AS gap, unnest(range(len(w))) AS i
+  FROM (SELECT r, owner, repo, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d) WHERE len(w) > 0)) WHERE {keep}"""
+
+
+_NAME = "CASE kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(secrets.KINDS)) + " END"
+_SPAN = f"string_agg({_NAME} || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '~') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+m AS ({_matches(0, secrets.ASSIGN, 2, f"length(val) >= {secrets.LEAST_ASSIGNED}")} UNION ALL {_matches(1, secrets.ACCESS, 0)} UNION ALL {_matches(2, secrets.HEX, 0)} UNION ALL {_matches(3, secrets.VENDOR, 0)}),
+held AS (SELECT sha256(val) AS s, count(DISTINCT owner) AS owners, count(DISTINCT (owner, repo)) AS repos FROM m GROUP BY ALL),
+j AS (SELECT m.*, owners, repos, owners < {secrets.OWNERS} AND regexp_matches(val, '[0-9]') AND regexp_matches(val, '[A-Za-z]') AND len(list_distinct(string_split(val, ''))) >= 6
+ AND NOT regexp_matches(val, '{secrets.STANDINS}') AS live FROM m JOIN held ON sha256(m.val) = held.s),
+x AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, {_SPAN} FILTER (WHERE kind < 3) AS base,
+ {_SPAN} FILTER (WHERE kind < 3 OR live) AS spans, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE owners >= {secrets.OWNERS}) AS n_copied, max(owners) AS most_owners, max(repos) AS most_repositories, {_SPAN} FILTER (WHERE live) AS live_spans FROM j GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live,
+ coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories, coalesce(live_spans, '') AS live_spans FROM d LEFT JOIN x USING (r)
+"""
+
 _KEY = r"translate(trim(line, chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP9_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -109,4 +132,4 @@ SELECT query_id, rank::integer AS rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": OP4_SQL, "op9_line_runs": OP9_SQL, "op10_taat_topk": OP10_SQL}
+    return {"op4_poisson_mixing": OP4_SQL, "op8_secret_ownership": OP8_SQL, "op9_line_runs": OP9_SQL, "op10_taat_topk": OP10_SQL}

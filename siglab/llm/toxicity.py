@@ -16,13 +16,14 @@ share of toxic labels (0 without labels). An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siglab.llm import shingles
 
@@ -183,22 +184,25 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list
     return got["text"].tolist(), got["toxic"].to_numpy()
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE) -> DataFrame:
-    """doc_id, a probability p_<category> for each category, and toxic (0/1: the last one is ``threshold`` or more)."""
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` of every row, a probability p_<category> for each category, and toxic (0/1: the last one
+    is ``threshold`` or more). Rows are scored where they are read; nothing is shuffled."""
     texts, y = sample(docs, labels, rows)
     chain = train(texts, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((len(batch), len(chain.names)))
-            ends = []
-            for first, owner, place in places(batch.column(1)):
-                ends.append((first, owner, place))
-            for k, (first, owner, place) in enumerate(ends):
-                last = ends[k + 1][0] if k + 1 < len(ends) else len(batch)
+            found = list(places(batch.column(at)))
+            for k, (first, owner, place) in enumerate(found):
+                last = found[k + 1][0] if k + 1 < len(found) else len(batch)
                 out[first:last] = chain.predict(owner, place, last - first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in out.T)], ["doc_id", *(f"p_{x}" for x in chain.names)])
-
-    schema = "doc_id long, " + ", ".join(f"p_{x} double" for x in chain.names)
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x) for x in out.T)], [f.name for f in schema.fields])
+
+    own = "text" in keep and dict(docs.dtypes)["text"] == "string"
+    at = keep.index("text") if own else len(keep)
+    whole = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    schema = T.StructType([*(whole.schema[c] for c in keep), *(T.StructField(f"p_{x}", T.DoubleType()) for x in chain.names)])
+    sent = [*keep] if own else [*keep, F.col("text").cast("string").alias("text_")]
+    scored = whole.select(*sent).mapInArrow(run, schema)
     return scored.withColumn("toxic", (F.col(f"p_{chain.names[-1]}") >= threshold).cast("int"))
