@@ -1,13 +1,19 @@
 """From candidate buckets to verified links to classes, without ever listing the pairs of a group.
 
 Texts with the same set of shingles are one class from the start, however many they are. Among the rest, each
-bucket compares all its texts with a few leaders; texts that a leader's class has taken in leave the bucket, as
-do the leaders, and the others go on with twice as many leaders until no bucket holds two texts that are still
-to be compared. Leaders are the least ids of lots drawn by hash, so a bucket of any size costs one partial aggregate. Links become classes by passing on the least id, with pointer jumping.
+bucket compares all its texts with one leader, its least id, which a partial aggregate finds whatever the
+bucket's size. Buckets that are then one class are done. The texts of the others are keyed anew, by the rarest
+fifth of their shingles (prefix filtering), which is exact: texts that are alike enough share such a key, while
+texts that share only what many have do not.
+There leaders of more and more lots meet their buckets, and leave them, until every two texts of a bucket that
+are of different classes have been compared: first, within the join itself, by length, by the places of the
+shared key (what is behind them must suffice for the overlap) and by sketches of their signatures, then by their
+shingles. Links become classes by passing on the least id, with pointer jumping.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +23,26 @@ from pyspark.sql import functions as F
 
 from siglab.llm import shingles, storage
 
-LEADERS = 2
+#: Lots of a prefix bucket in the first turn, each with a leader, and by how much each further turn multiplies them.
+FIRST, LEADERS = 256, 16
+#: Frequent hashes that the order of prefixes knows.
+LISTED = 50_000
+
+
+def sketch(coordinates: np.ndarray) -> np.ndarray:
+    """Four bits of each signature coordinate, packed into 64-bit numbers."""
+    n, k = coordinates.shape
+    nibbles = np.zeros((n, -(-k // 16) * 16), np.uint64)
+    nibbles[:, :k] = shingles.mix(coordinates.astype(np.uint64), 21) >> np.uint64(60)
+    shifted = nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(shifted, axis=2).view(np.int64)
+
+
+def differing(k: int, threshold: float) -> int:
+    """Bits of two sketches of ``k`` coordinates that may differ at that similarity: the mean and six deviations,
+    which a pair at the threshold exceeds less than once in ten million."""
+    q = 1 - threshold
+    return math.ceil(2 * k * q + 6 * math.sqrt(k * (5 * q - 4 * q * q)))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -51,16 +76,17 @@ def describe_texts(docs: DataFrame, describe: Callable[[pa.Array], np.ndarray],
                 for k in range(2):
                     if len(has):
                         sums[k, has] = np.add.reduceat(shingles.mix(found, 11 + k), begin[has])
-                keys = describe(batch.column(1), found, begin)
+                keys, bits = describe(batch.column(1), found, begin)
                 low = (found >> np.uint64(32)).astype(np.uint32)
                 sets = [low[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:])]
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
+                packed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * bits.shape[1], pa.int32()), pa.array(bits.reshape(-1), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), listed, pa.array(sets, pa.binary()), pa.array(np.diff(begin), pa.int64())],
-                    ["doc_id", "set_a", "set_b", "keys", "hashes", "size"],
+                    [batch.column(0), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), listed, pa.array(sets, pa.binary()), pa.array(np.diff(begin), pa.int64()), packed],
+                    ["doc_id", "set_a", "set_b", "keys", "hashes", "size", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, set_a long, set_b long, keys array<long>, hashes binary, size long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, set_a long, set_b long, keys array<long>, hashes binary, size long, bits array<long>")
 
 
 def _alike(threshold: float) -> Callable:
@@ -86,11 +112,53 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return possible.select("a", "b", "x", "y").mapInArrow(_alike(threshold), "a long, b long")
 
 
-def near_classes(docs: DataFrame, describe: Callable[[pa.Array, np.ndarray, np.ndarray], np.ndarray], threshold: float = shingles.THRESHOLD, width: int = shingles.WIDTH) -> DataFrame:
+def frequent(sets: DataFrame, most: int = LISTED) -> dict[int, int]:
+    """Hashes that many of the sets hold, with about how many: counted within tasks, those met twice there or more
+    added up, the ``most`` highest. Only the order of hashes comes from it, so it changes costs, never results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(0)]
+            value, n = np.unique(np.concatenate(whole) if whole else np.zeros(0, np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
+
+    counted = sets.select("hashes").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return dict(counted.orderBy(F.desc("n"), "h").limit(most).collect())
+
+
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """node, key, pos (place in the order) for the rarest hashes of each set: two sets that are alike enough share at least one of them.
+
+    Sets of a similarity of t or more share at least t of the larger one, so they can't miss each other in all of
+    the first ``n - ceil(t * n) + 1`` hashes of one common order; with rare hashes first, few others share one.
+    """
+    often = frequent(sets)
+    names = np.array(sorted(often), np.int64)
+    held = np.array([often[x] for x in names.tolist()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, key, pos = [], [], []
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.unique(np.frombuffer(x.as_buffer(), np.uint32)).astype(np.int64)
+                weight = np.zeros(len(own), np.int64)
+                if len(names):
+                    at = np.searchsorted(names, own).clip(max=len(names) - 1)
+                    weight = np.where(names[at] == own, held[at], 0)
+                first = own[np.lexsort((own, weight))][: len(own) - math.ceil((threshold - 1e-9) * len(own)) + 1]
+                pos.append(np.arange(len(first), dtype=np.int32))
+                node.append(np.full(len(first), name, np.int64))
+                key.append(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(node) if node else np.zeros(0, np.int64)), pa.array(np.concatenate(key) if key else np.zeros(0, np.int64)), pa.array(np.concatenate(pos) if pos else np.zeros(0, np.int32))], ["node", "key", "pos"])
+
+    return sets.select("node", "hashes").mapInArrow(run, "node long, key long, pos int")
+
+
+def near_classes(docs: DataFrame, describe: Callable[[pa.Array, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], coordinates: int, threshold: float = shingles.THRESHOLD, width: int = shingles.WIDTH) -> DataFrame:
     """doc_id, class_id of every row: the least doc_id among the texts that are linked to its own.
 
     ``describe`` gives for texts (column, their distinct hashes, where each text's begin) an int64 array with a
-    bucket key in each column. Rows without a doc_id are classes of their own (class_id null).
+    bucket key in each column, and the :func:`sketch` of their ``coordinates`` signature values. Rows without a doc_id are classes of their own (class_id null).
     """
     spark = docs.sparkSession
     storage.shared_dir(spark)
@@ -104,24 +172,42 @@ def near_classes(docs: DataFrame, describe: Callable[[pa.Array, np.ndarray, np.n
     shared = entry.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key").checkpoint()
     entry = entry.join(shared, ["band", "key"]).checkpoint()
     candidate = entry.select("node").distinct()
-    sets = storage.materialise(named.join(candidate.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").join(lone, ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("node"), "hashes", "size").dropDuplicates(["node"]), "sets")
-    links, classes, lots, turn = None, None, LEADERS, 0
-    while True:
-        lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(lots)).alias("lot")
-        leader = entry.groupBy("band", "key", lot).agg(F.min("node").alias("leader")).drop("lot").checkpoint()
-        met = entry.join(leader, ["band", "key"]).filter("node <> leader")
+    sets = storage.materialise(named.join(candidate.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").join(lone, ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("node"), "hashes", "size", "bits").dropDuplicates(["node"]), "sets")
+    most, wide = differing(coordinates, threshold), range(-(-coordinates // 16))
+    named_bits = [F.get("bits", k).alias(f"b{k}") for k in wide]
+    own = ["node", "band", "key", "pos", "size", *(f"b{k}" for k in wide)]
+    about = sets.select("node", "size", *named_bits)
+    entry = entry.join(about, "node").withColumn("class_id", F.col("node")).withColumn("pos", F.lit(0))
+
+    def turn(entry: DataFrame, classes: DataFrame | None, links: DataFrame | None, lots: int) -> tuple:
+        """Leaders meet their buckets: what is left of the buckets that still have several classes, and all classes and links."""
+        lot = F.pmod(F.xxhash64("node", F.lit(lots)), F.lit(lots)).alias("lot")
+        leader = entry.groupBy("band", "key", lot).agg(F.min("node").alias("leader"), F.min_by("class_id", "node").alias("led"), F.min_by("size", "node").alias("long"), F.min_by("pos", "node").alias("place"), *(F.min_by(f"b{k}", "node").alias(f"c{k}") for k in wide)).drop("lot").checkpoint()
+        alike = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0)) <= most
+        enough = F.least(F.col("size") - F.col("pos"), F.col("long") - F.col("place")) >= (F.col("size") + F.col("long")) * (threshold / (1 + threshold)) - 1e-6
+        met = entry.join(leader, ["band", "key"]).filter((F.col("class_id") != F.col("led")) & enough & alike)
         pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         found = verified(pairs, sets, threshold).checkpoint()
         if classes is None or found.limit(1).count():
             links = found if links is None else links.union(found)
             classes = connected(links)
-        named_entry = entry.join(classes, "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
-        taken = leader.join(classes.withColumnRenamed("node", "leader"), "leader", "left").select("band", "key", F.coalesce("class_id", "leader").alias("class_id")).distinct().checkpoint()
-        rest = named_entry.join(taken, ["band", "key", "class_id"], "left_anti").select("node", "band", "key")
-        many = rest.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key").checkpoint()
-        entry = rest.join(many, ["band", "key"]).select("node", "band", "key").checkpoint()
-        lots, turn = lots * 2, turn + 1
-        if not entry.limit(1).count():
-            break
+        return leader, classes, links
+
+    def mixed(entry: DataFrame, classes: DataFrame) -> DataFrame | None:
+        """``entry`` with its classes, where a bucket has several."""
+        told_rest = entry.join(classes, "node", "left").select(*own, F.coalesce("class_id", "node").alias("class_id"))
+        several = told_rest.groupBy("band", "key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x <> y").select("band", "key").checkpoint()
+        return told_rest.join(several, ["band", "key"]).select(*own, "class_id").checkpoint() if several.limit(1).count() else None
+
+    _, classes, links = turn(entry, None, None, 1)
+    rest = mixed(entry.drop("class_id"), classes)
+    if rest is not None:
+        left = sets.join(rest.select("node").distinct(), "node", "left_semi")
+        keyed = prefixes(left, threshold).join(about, "node").select("node", F.lit(0).alias("band"), "key", "pos", "size", *(f"b{k}" for k in wide)).checkpoint()
+        rest, lots = mixed(keyed, classes), FIRST
+        while rest is not None:
+            leader, classes, links = turn(rest, classes, links, lots)
+            gone = leader.select("band", "key", F.col("leader").alias("node"))
+            rest, lots = mixed(rest.drop("class_id").join(gone, ["band", "key", "node"], "left_anti"), classes), lots * LEADERS
     least = member.join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("class_id"))
     return least.union(told.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
