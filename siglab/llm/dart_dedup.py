@@ -120,10 +120,11 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def near_classes(docs: DataFrame, threshold: float = shingles.THRESHOLD, width: int = shingles.WIDTH, bands: int = BANDS, rows: int = ROWS, seed: int = 0) -> DataFrame:
     """doc_id, class_id (least doc_id of the group of near copies) of every row of ``docs`` (doc_id, text)."""
 
-    def describe(column: pa.Array, hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        return band_keys(signatures(hashes, begin, np.ones(len(hashes)), bands * rows, seed), bands, rows)
+    def describe(column: pa.Array, hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        signature = signatures(hashes, begin, np.ones(len(hashes)), bands * rows, seed)
+        return band_keys(signature, bands, rows), components.sketch(signature)
 
-    return components.near_classes(docs, describe, threshold, width)
+    return components.near_classes(docs, describe, bands * rows, threshold, width)
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

@@ -74,7 +74,7 @@ def near_duplicates(docs: DataFrame, threshold: float = shingles.THRESHOLD, perm
     joined, and candidates kept where the Jaccard similarity of their shingles is at least ``threshold``."""
     rows = permutations // bands
 
-    def describe(column: pa.Array, _hashes: np.ndarray, _begin: np.ndarray) -> np.ndarray:
+    def describe(column: pa.Array, _hashes: np.ndarray, _begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found = signatures(column, permutations, seed, width)
         keys = np.empty((len(found), bands), np.int64)
         for k in range(bands):
@@ -82,9 +82,9 @@ def near_duplicates(docs: DataFrame, threshold: float = shingles.THRESHOLD, perm
             for value in found[:, k * rows : (k + 1) * rows].T:
                 x = shingles.mix(x * np.uint64(0x9E3779B97F4A7C15) + value.astype(np.uint64), k)
             keys[:, k] = x.view(np.int64)
-        return keys
+        return keys, components.sketch(found)
 
-    return components.near_classes(docs, describe, threshold, width)
+    return components.near_classes(docs, describe, permutations, threshold, width)
 
 
 def _bounds(ids: DataFrame, parts: int) -> list[int]:
