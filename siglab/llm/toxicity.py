@@ -16,11 +16,13 @@ share of toxic labels (0 without labels). An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,50 +119,48 @@ class Chain:
         return out
 
 
-def telling(owner: np.ndarray, place: np.ndarray, y: np.ndarray, least: int, used: int) -> np.ndarray:
-    """The places that tell the classes apart best, by the size of their log odds ratio over its error."""
-    pairs = np.unique(owner * PLACES + place)
-    at, place = pairs // PLACES, pairs % PLACES
-    held = np.bincount(place, minlength=PLACES)
+def telling(held: np.ndarray, toxic: np.ndarray, rows: int, bad: float, least: int, used: int) -> np.ndarray:
+    """The places that tell the classes apart best, by the size of their log odds ratio over its error: from how
+    many texts, and toxic texts, hold each place."""
     some = np.flatnonzero(held >= least)
-    a = np.bincount(place, y[at], PLACES)[some] + 0.5
-    b = held[some] - a + 1.0
-    c, d = y.sum() - a + 1.0, (len(y) - y.sum()) - b + 1.0
-    score = (np.log(a) - np.log(b) - np.log(c.clip(0.5)) + np.log(d.clip(0.5))) / np.sqrt(1 / a + 1 / b + 1 / c.clip(0.5) + 1 / d.clip(0.5))
+    a = toxic[some] + 0.5
+    b = held[some] - toxic[some] + 0.5
+    c, d = bad - toxic[some] + 0.5, rows - bad - (held[some] - toxic[some]) + 0.5
+    score = (np.log(a) - np.log(b) - np.log(c) + np.log(d)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     return some[np.argsort(-np.abs(score), kind="stable")[:used]]
 
 
-def categories(owner: np.ndarray, place: np.ndarray, y: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+def categories(at: np.ndarray, marks: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A column of 0/1 for each of :data:`NAMES`: toxic texts with at least three of the words that mark toxicity
-    (severe), with at least two (abusive), and all toxic ones."""
-    pairs = np.unique(owner * PLACES + place)
-    at, place = pairs // PLACES, pairs % PLACES
-    mark = np.zeros(PLACES, bool)
-    toxic, total = np.bincount(place, y[at], PLACES)[chosen], np.bincount(place, minlength=PLACES)[chosen]
-    mark[chosen[(toxic >= 3) & (toxic >= 0.9 * total)]] = True
-    n = np.bincount(at[mark[place]], minlength=len(y))
+    (severe), with at least two (abusive), and all toxic ones. ``at``, ``marks``: each text's words, and whether they mark it."""
+    n = np.bincount(at[marks], minlength=len(y))
     return np.stack([y * (n >= 3), y * (n >= 2), y], axis=1)
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Chain:
-    """Fits the chain on labelled texts."""
+def train(texts: list[str] | pa.Array, y: np.ndarray, seed: int = 3) -> Chain:
+    """Fits the chain on labelled texts, in two passes of blocks: one counts the words, one keeps those that are used."""
     y = y.astype(float)
     base = float(y.mean()) if len(y) else 0.0
     if not 0 < base < 1:
         return Chain(base=base)
-    owner, place = [], []
-    for first, own, at in places(pa.array(texts, pa.large_string())):
-        owner.append(own + first)
-        place.append(at)
-    owner, place, n = np.concatenate(owner), np.concatenate(place), len(y)
-    chosen = telling(owner, place, y, LEAST, USED)
+    column_of, n = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())), len(y)
+    held, toxic = np.zeros(PLACES), np.zeros(PLACES)
+    for first, own, at in places(column_of):
+        pairs = np.unique(own * PLACES + at)
+        place = pairs % PLACES
+        np.add.at(held, place, 1.0)
+        np.add.at(toxic, place, y[first + pairs // PLACES])
+    chosen = telling(held, toxic, n, y.sum(), LEAST, USED)
     columns = np.full(PLACES, -1, np.int64)
     columns[chosen] = np.arange(len(chosen))
-    target = categories(owner, place, y, chosen)
-    known = columns[place] >= 0
-    wide = max(len(chosen), 1)
-    pairs = np.unique(owner[known] * wide + columns[place[known]])
+    wide, kept = max(len(chosen), 1), [np.zeros(0, np.int64)]
+    for first, own, at in places(column_of):
+        known = columns[at] >= 0
+        kept.append(np.unique((own[known] + first) * wide + columns[at[known]]))
+    pairs = np.concatenate(kept)
     at, column = pairs // wide, pairs % wide
+    marking = (toxic[chosen] >= 3) & (toxic[chosen] >= 0.9 * held[chosen])
+    target = categories(at, marking[column], y)
     fold = np.random.default_rng(seed).permutation(n) % FOLDS
     unseen, chain = np.zeros((n, len(NAMES))), Chain(columns=columns, base=base)
     for k in range(len(NAMES)):
@@ -175,13 +175,19 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> Chain:
     return chain
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels of at most ``rows`` labelled documents, those of least hash of doc_id."""
     told = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    drawn = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    told = told.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))  # below 2^63, evenly
+    n = told.count()
+    # Twice the share that is wanted holds the least ones, and keeps what is sorted bounded whatever the labels' number.
+    near = told.filter(F.col("u") < (2**63 - 1) * min(n, 2 * rows + 100) // max(n, 1))
+    drawn = near.orderBy("u", "doc_id").limit(rows).select("doc_id", "toxic")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = named.join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "text").toPandas()  # ``rows`` pairs of numbers at most are broadcast
-    return got["text"].tolist(), got["toxic"].to_numpy()
+    got = named.join(F.broadcast(drawn), "doc_id").select("text", "toxic").toArrow()  # ``rows`` pairs of numbers at most are broadcast
+    texts, y = got["text"].cast(pa.large_string()).combine_chunks(), got["toxic"].to_numpy()
+    order = np.lexsort((y, pc.utf8_length(texts).to_numpy(), [zlib.crc32(x.as_buffer()) for x in texts]))  # whatever the order of arrival
+    return texts.take(pa.array(order)), y[order]
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
