@@ -58,6 +58,7 @@ def connected(links: DataFrame) -> DataFrame:
         new = step.join(root, "class_id", "left").select("node", "was", F.coalesce("up", "class_id").alias("class_id")).checkpoint()
         label, moved = new.select("node", "class_id"), new.filter("was <> class_id").limit(1).count()
         if not moved:
+            storage.tidy(spark)
             return label
 
 
@@ -114,7 +115,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def frequent(sets: DataFrame, most: int = LISTED) -> dict[int, int]:
     """Hashes that many of the sets hold, with about how many: counted within tasks, those met twice there or more
-    added up, the ``most`` highest. Only the order of hashes comes from it, so it changes costs, never results."""
+    added up, the highest, ``most`` at most. Only the order of hashes comes from it, so it changes costs, never results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,8 +123,14 @@ def frequent(sets: DataFrame, most: int = LISTED) -> dict[int, int]:
             value, n = np.unique(np.concatenate(whole) if whole else np.zeros(0, np.uint32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
-    counted = sets.select("hashes").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return dict(counted.orderBy(F.desc("n"), "h").limit(most).collect())
+    counted = sets.select("hashes").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).checkpoint()
+    step = F.floor(F.log2("n") * 8)
+    total, least = 0, None
+    for level, n in sorted(counted.groupBy(step.alias("level")).count().collect(), reverse=True):  # some hundred levels
+        if total + n > most:
+            break
+        total, least = total + n, level
+    return dict(counted.filter(step >= least).collect()) if least is not None else {}
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
@@ -173,6 +180,7 @@ def near_classes(docs: DataFrame, describe: Callable[[pa.Array, np.ndarray, np.n
     entry = entry.join(shared, ["band", "key"]).checkpoint()
     candidate = entry.select("node").distinct()
     sets = storage.materialise(named.join(candidate.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").join(lone, ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("node"), "hashes", "size", "bits").dropDuplicates(["node"]), "sets")
+    storage.tidy(spark)
     most, wide = differing(coordinates, threshold), range(-(-coordinates // 16))
     named_bits = [F.get("bits", k).alias(f"b{k}") for k in wide]
     own = ["node", "band", "key", "pos", "size", *(f"b{k}" for k in wide)]
@@ -188,6 +196,7 @@ def near_classes(docs: DataFrame, describe: Callable[[pa.Array, np.ndarray, np.n
         met = entry.join(leader, ["band", "key"]).filter((F.col("class_id") != F.col("led")) & enough & alike)
         pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         found = verified(pairs, sets, threshold).checkpoint()
+        storage.tidy(spark)
         if classes is None or found.limit(1).count():
             links = found if links is None else links.union(found)
             classes = connected(links)
@@ -196,6 +205,7 @@ def near_classes(docs: DataFrame, describe: Callable[[pa.Array, np.ndarray, np.n
     def mixed(entry: DataFrame, classes: DataFrame) -> DataFrame | None:
         """``entry`` with its classes, where a bucket has several."""
         told_rest = entry.join(classes, "node", "left").select(*own, F.coalesce("class_id", "node").alias("class_id"))
+        storage.tidy(spark)
         several = told_rest.groupBy("band", "key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x <> y").select("band", "key").checkpoint()
         return told_rest.join(several, ["band", "key"]).select(*own, "class_id").checkpoint() if several.limit(1).count() else None
 

@@ -9,6 +9,7 @@ driver process ends, or earlier by :func:`release`.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of shuffles and checkpoints that nothing refers to any more.
+
+    Spark deletes their files once their handles are collected, which a driver with room to spare puts off for long;
+    an operator with many small steps calls this between them, so that disk holds what is still needed only.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release() -> None:
     """Deletes every intermediate table written so far; results that still depend on them can't be read then."""
     while _WRITTEN:
