@@ -16,11 +16,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from siglab.llm import storage
 
 SEED = 17
-#: Sources up to which rates are written into the plan; beyond, they are joined.
+#: Sources up to which laws are written into the plan; beyond, they are a table that is joined on the source.
 LISTED = 2000
 
 
@@ -61,20 +64,58 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5,
     """
     counts = docs.groupBy("source").agg(F.count("*").alias("n_"))
     known = dict(counts.limit(LISTED + 1).collect())
+    u = uniform(seed, F.col("doc_id"), F.col("source"))
     if len(known) > LISTED:
-        raise ValueError(f"more than {LISTED} sources: map them to groups first")
+        drawn = _joined(docs, laws_table(counts, weights, temperature, total), u)
+    else:
+        drawn = _listed(docs, known, weights, temperature, total, u)
+    copies = drawn.withColumn("copy_", F.explode(F.sequence(F.lit(0), F.col("repeats_") - 1)))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("copy_").cast("string")).cast("binary"))
+    return copies.withColumn("mixed_at_", key).orderBy("mixed_at_")
+
+
+def _listed(docs: DataFrame, known: dict, weights: dict | None, temperature: float, total: int | None, u: Column) -> DataFrame:
+    """Rows that are drawn, with ``repeats_`` and ``rate_``; the laws are written into the plan."""
     shares = tempered(known, temperature) if weights is None else {k: float(w) for k, w in weights.items() if known.get(k)}
     whole = sum(shares.values())
     total = sum(known.values()) if total is None else total
     laws = {k: law(w / whole * total / known[k]) for k, w in shares.items() if w > 0}
-    u = uniform(seed, F.col("doc_id"), F.col("source"))
     listed = F.create_map(*(y for k, v in laws.items() if k is not None for y in (F.lit(k), F.array(*map(F.lit, v))))) if any(k is not None for k in laws) else None
     steps = listed[F.col("source")] if listed is not None else F.lit(None).cast("array<double>")
     if None in laws:
         steps = F.when(F.col("source").isNull(), F.array(*map(F.lit, laws[None]))).otherwise(steps)
     n = F.when(steps.isNull(), 0).otherwise(F.size(F.filter(steps, lambda x: x <= F.col("u_")))).cast("int")
     rate = F.when(steps.isNull(), 0.0).otherwise(-F.log(steps[0]))
-    drawn = docs.withColumn("u_", u).withColumn("repeats_", n).withColumn("rate_", rate).filter("repeats_ > 0").drop("u_")
-    copies = drawn.withColumn("copy_", F.explode(F.sequence(F.lit(0), F.col("repeats_") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("copy_").cast("string")).cast("binary"))
-    return copies.withColumn("mixed_at_", key).orderBy("mixed_at_")
+    return docs.withColumn("u_", u).withColumn("repeats_", n).withColumn("rate_", rate).filter("repeats_ > 0").drop("u_")
+
+
+def laws_table(counts: DataFrame, weights: dict | None, temperature: float, total: int | None) -> DataFrame:
+    """mixing_source_, mixing_rate_, mixing_steps_ (the law of :func:`law`) of each source with rows and a weight.
+
+    ``counts``: source, n_. Equal rates share a law, so the work grows with the distinct rates, not with the sources.
+    """
+    counts = storage.materialise(counts, "sources")
+    if weights is None:
+        raw = counts.withColumn("w_", F.pow(F.col("n_").cast("double"), F.lit(float(temperature))))
+    else:
+        kinds = StructType([StructField("k_", counts.schema["source"].dataType), StructField("w_", DoubleType())])
+        stated = counts.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], kinds)
+        raw = counts.join(stated, F.col("source").eqNullSafe(F.col("k_")), "left").drop("k_")
+    whole, rows = raw.agg(F.sum("w_"), F.sum("n_")).first()
+    whole = float(whole or 0)  # no source with a weight: no law
+    mean = F.col("w_") / F.lit(whole) * F.lit(float(rows if total is None else total)) / F.col("n_")
+    rates = storage.materialise(raw.filter("w_ > 0").select("source", mean.alias("m_")).filter("m_ > 0"), "rates")
+    last = F.ceil(F.col("m_") + 12 * F.sqrt("m_") + 40).cast("int")
+    terms = rates.select("m_").distinct().select("m_", F.explode(F.sequence(F.lit(0), last)).alias("k_"))
+    upto = Window.partitionBy("m_").orderBy("k_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    log = F.sum(F.when(F.col("k_") > 0, F.log(F.col("m_") / F.col("k_"))).otherwise(-F.col("m_"))).over(upto)
+    summed = terms.withColumn("p_", F.exp(log)).withColumn("c_", F.sum("p_").over(upto))
+    laws = summed.groupBy("m_").agg(F.transform(F.sort_array(F.collect_list(F.struct("k_", "c_"))), lambda x: x["c_"]).alias("mixing_steps_"))
+    return rates.join(laws, "m_").select(F.col("source").alias("mixing_source_"), F.col("m_").alias("mixing_rate_"), "mixing_steps_")
+
+
+def _joined(docs: DataFrame, laws: DataFrame, u: Column) -> DataFrame:
+    """The same as :func:`_listed` for any number of sources. The laws are written first, so that both sides have an exchange of their own and a source of many rows can be split."""
+    met = docs.join(storage.materialise(laws, "laws"), F.col("source").eqNullSafe(F.col("mixing_source_"))).withColumn("u_", u)
+    n = F.size(F.filter("mixing_steps_", lambda x: x <= F.col("u_"))).cast("int")
+    return met.select(*(F.col(f"`{c}`") for c in docs.columns), n.alias("repeats_"), F.col("mixing_rate_").alias("rate_")).filter("repeats_ > 0")

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -202,6 +203,35 @@ def test_poisson_law_and_mixture(spark, docs):
     assert mixing.mix(table.filter("false")).count() == 0
 
 
+def test_mixing_of_more_sources_than_are_listed(spark, docs):
+    rows = [(i, "t", f"d{i % (mixing.LISTED + 300)}") for i in range(3 * mixing.LISTED)] + [(-i, "t", "hot") for i in range(1, 3001)] + [(10**6, "t", None), (None, "t", "hot")]
+    table = docs(rows)
+    got = mixing.mix(table).toPandas()
+    held = Counter(r[2] for r in rows)
+    whole = sum(math.sqrt(n) for n in held.values())
+    rates = {k: math.sqrt(n) / whole * len(rows) / n for k, n in held.items()}
+    laws = {m: mixing.law(m) for m in set(rates.values())}
+    want = Counter()
+    for i, _, source in rows:
+        u = int(hashlib.md5(f"{mixing.SEED}|{'~' if i is None else i}|{'~' if source is None else source}".encode()).hexdigest()[:13], 16) / 2**52
+        want[i] += sum(c <= u for c in laws[rates[source]])
+    assert Counter(None if pd.isna(x) else int(x) for x in got.doc_id) == +want
+    assert all(math.isclose(r, rates[None if pd.isna(s) else s], rel_tol=1e-9) for s, r in zip(got.source, got.rate_)) and got.mixed_at_.is_monotonic_increasing
+    plan = mixing.mix(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert mixing.mix(table, {"none": 1}).count() == 0 and set(mixing.mix(table, {"none": 1, "d7": 2}).toPandas().source) == {"d7"}
+
+
+@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 3, "none": 5}, {None: 1.0}, {"a": 0, "c": 2}])
+def test_listed_and_joined_laws_draw_the_same(spark, docs, monkeypatch, weights):
+    table = docs([(i, "t", "a" if i % 5 else "b") for i in range(2500)] + [(-1, "t", None), (-2, "t", "c"), (-2, "t", "c"), (None, "t", "a")])
+    want = mixing.mix(table, weights)
+    monkeypatch.setattr(mixing, "LISTED", 1)
+    got = mixing.mix(table, weights)
+    assert got.columns == want.columns
+    assert got.drop("rate_").exceptAll(want.drop("rate_")).count() == 0 and got.count() == want.count() > 0
+
+
 # Sharding (5)
 
 
