@@ -398,7 +398,9 @@ SELECT series_id, config_id, {T.r('a', 'oos_sharpe_points')}, 0e0 AS stability_p
 def robustness_points(spark, sf_dir):
     run = _bars(spark, sf_dir, _REVERSION)
     test = sweep.segment_kpis(run).filter("segment = 'test'")
-    return robustness.robustness_points(test, None, attribution.cost_ladder(run), RUN)
+    folds = sweep.walk_forward(panel(spark, sf_dir), candidates(), check=False)
+    held = run.select(*RUN).distinct().join(folds, "series_id")  # folds are of a series, whatever its configuration
+    return robustness.robustness_points(test, held, attribution.cost_ladder(run), RUN)
 
 
 @query(f"{T.ORDERS}, {T.bars([BASE])}, {T.kpis(RUN)} SELECT series_id, config_id, {T.figures(scorecard.KPIS)} FROM kpi")
