@@ -40,7 +40,7 @@ SIZED = {
     "size_voltarget": StrategyConfig(sizing_method="volatility_target", target_volatility=0.15, max_exposure=2.0),
     "vol_cap": StrategyConfig(signal_family="momentum", use_risk_controls=True, vol_cap=0.15),
 }
-SIMULATIONS = 50
+SIMULATIONS = 1000
 
 
 def rounded(df: DataFrame) -> DataFrame:

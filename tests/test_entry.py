@@ -48,6 +48,18 @@ def test_robustness_points_count_the_folds_that_held(spark):
         assert r.score == pytest.approx(before["oos"] + before["drawdown"] + before["cost"] + stable, abs=1e-5)
 
 
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
+def test_bootstrap_draws_a_thousand_paths_as_the_twin_does(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    want = con.execute(entry.oracle_sql()["bootstrap_summary"]).df().set_index("series_id").sort_index()
+    got = entry.queries()["bootstrap_summary"](spark, SF).toPandas().set_index("series_id").sort_index()
+    assert (got.n_simulations == 1000).all() and list(got.index) == list(want.index)
+    assert ((got[want.columns] - want).abs() < 2e-6).all().all()
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 6 * 13
