@@ -7,6 +7,9 @@ at a cost near the text's length plus ``coordinates * ln(coordinates)``, instead
 ``rows`` coordinates make the bucket keys; texts that meet in a bucket are compared by the Jaccard similarity of
 their shingle sets.
 
+:func:`near_classes` gives every shingle of a text the weight 1, as what it verifies is the Jaccard similarity of
+sets: how often a shingle occurs does not count. Other weights are only used by callers of :func:`signatures`.
+
 Nulls, empty texts, ties: null texts count as empty; all texts without words are one class. Equal texts are one
 class whatever their number, and its least ``doc_id`` names it. Rows with a null ``doc_id`` stay and are classes
 of their own. Equal rows stay together: ``deduplicate`` keeps one of them. An empty table gives an empty result.
