@@ -1,14 +1,18 @@
 """From candidate buckets to verified links to classes, without ever listing the pairs of a group.
 
-Texts with the same set of shingles are one class from the start, however many they are. Among the rest, each
-bucket compares all its texts with one leader, its least id, which a partial aggregate finds whatever the
-bucket's size. Buckets that are then one class are done. The texts of the others are keyed anew, by the rarest
-fifth of their shingles (prefix filtering), which is exact: texts that are alike enough share such a key, while
-texts that share only what many have do not.
-There leaders of more and more lots meet their buckets, and leave them, until every two texts of a bucket that
+Rows are known by a row number, never by ``doc_id``, so texts that share an id stay apart. Texts with the same
+elements (shingles, or with ``weighted`` shingles and their occurrences) are one node from the start, however many
+they are. Each bucket compares all its nodes with one leader, its least, which a partial aggregate finds whatever
+the bucket's size. Buckets that are then one class are done. The nodes of the others are keyed anew, by the rarest
+fifth of their elements (prefix filtering), which is exact: nodes that are alike enough share such a key, while
+nodes that share only what many have do not.
+There leaders of more and more lots meet their buckets, and leave them, until every two nodes of a bucket that
 are of different classes have been compared: first, within the join itself, by length, by the places of the
 shared key (what is behind them must suffice for the overlap) and by sketches of their signatures, then by their
-shingles. Links become classes by passing on the least id, with pointer jumping.
+elements. Links become classes by passing on the least node, with pointer jumping.
+
+Every step is written to the shared folder and deleted when its successor is there; a lost executor costs no more
+than the tasks of one step.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siglab.llm import shingles, storage
@@ -27,6 +31,10 @@ from siglab.llm import shingles, storage
 FIRST, LEADERS = 256, 16
 #: Frequent hashes that the order of prefixes knows.
 LISTED = 50_000
+#: Parts that the rows of one class are dealt to where they look up their class.
+SALTS = 8
+
+Describe = Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def sketch(coordinates: np.ndarray) -> np.ndarray:
@@ -45,49 +53,104 @@ def differing(k: int, threshold: float) -> int:
     return math.ceil(2 * k * q + 6 * math.sqrt(k * (5 * q - 4 * q * q)))
 
 
-def connected(links: DataFrame) -> DataFrame:
+def _every_salt() -> Column:
+    return F.explode(F.lit([*range(SALTS)]).cast("array<long>"))
+
+
+def connected(links: DataFrame, scratch: storage.Scratch) -> DataFrame:
     """node, class_id (least node of its component) of every node in ``links`` (a, b)."""
-    spark = links.sparkSession
-    storage.shared_dir(spark)
-    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct().checkpoint()
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class_id")).checkpoint()
+    both = scratch.keep(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "both-ways")
+    label = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class_id")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("class_id").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("class_id").alias("was"), F.least("class_id", "m").alias("class_id"))
-        root = step.select(F.col("node").alias("class_id"), F.col("class_id").alias("up"))
-        new = step.join(root, "class_id", "left").select("node", "was", F.coalesce("up", "class_id").alias("class_id")).checkpoint()
-        label, moved = new.select("node", "class_id"), new.filter("was <> class_id").limit(1).count()
+        step = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("class_id").alias("was"), F.least("class_id", "m").alias("class_id"), F.pmod("node", F.lit(SALTS)).alias("salt"))
+        # Where a class has a lower label itself, its nodes take that one: all that name it look it up, so they are salted.
+        up = label.filter("node <> class_id").select(F.col("node").alias("class_id"), F.col("class_id").alias("up"), _every_salt().alias("salt"))
+        new = scratch.keep(step.join(up, ["class_id", "salt"], "left").select("node", "was", F.coalesce("up", "class_id").alias("class_id")), "labels")
+        scratch.drop(label)
+        label, moved = new, not new.filter("was <> class_id").isEmpty()
         if not moved:
-            storage.tidy(spark)
+            scratch.drop(both)
             return label
 
 
-def describe_texts(docs: DataFrame, describe: Callable[[pa.Array], np.ndarray], width: int) -> DataFrame:
-    """row, doc_id, set_a, set_b (two hashes of the set of shingles), keys (of buckets), hashes (32 bits each, ascending), size."""
+def text_key(text: Column) -> Column:
+    """By which the rows of one ``doc_id`` are told apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), text_key(text).alias("text_key"))
+
+
+def elements(batch: pa.Array, width: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, where each text's begin, their counts; then the elements that similarity is about, and
+    where those begin: the same hashes, or with ``weighted`` one for each occurrence, so that the Jaccard similarity
+    of elements is the weighted one of shingle counts."""
+    raw, at = shingles.utf8(batch)
+    found, begin = shingles.shingle_hashes(raw, at, width)
+    found, begin, count = shingles.distinct(found, begin)
+    if not weighted or not (count > 1).any():
+        return found, begin, count, found, begin
+    total = np.concatenate([[0], np.cumsum(count)])
+    nth = np.arange(total[-1]) - np.repeat(total[:-1], count)
+    each = np.repeat(found, count)
+    later = nth > 0
+    each[later] = shingles.mix(each[later] ^ (nth[later].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), 31)
+    begin_each = total[begin]
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin_each))
+    return found, begin, count, each[np.lexsort((each, owner))], begin_each
+
+
+def _binary(each: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The upper 32 bits of each text's elements, ascending, as bytes."""
+    low = (each >> np.uint64(32)).astype(np.uint32)
+    return pa.array([low[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:])], pa.binary())
+
+
+def describe_texts(docs: DataFrame, describe: Describe, width: int, weighted: bool, store: bool) -> DataFrame:
+    """doc_id, text_key, set_a, set_b (two hashes of the elements), keys (of buckets), hashes (32 bits of each element,
+    ascending; null without ``store``), size (how many), bits (the sketch)."""
+
+    def listed(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1), pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            _, bounds = shingles.utf8(whole.column(1))
+            _, bounds = shingles.utf8(whole.column(2))
             for first, last in shingles.blocks(bounds):
                 batch = whole.slice(first, last - first)
-                raw, at = shingles.utf8(batch.column(1))
-                found, begin = shingles.shingle_hashes(raw, at, width)
-                found, begin, _ = shingles.distinct(found, begin)
-                has, sums = np.flatnonzero(np.diff(begin)), np.zeros((2, len(batch)), np.uint64)
+                found, begin, count, each, begin_each = elements(batch.column(2), width, weighted)
+                has, sums = np.flatnonzero(np.diff(begin_each)), np.zeros((2, len(batch)), np.uint64)
                 for k in range(2):
                     if len(has):
-                        sums[k, has] = np.add.reduceat(shingles.mix(found, 11 + k), begin[has])
-                keys, bits = describe(batch.column(1), found, begin)
-                low = (found >> np.uint64(32)).astype(np.uint32)
-                sets = [low[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:])]
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * keys.shape[1], pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
-                packed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * bits.shape[1], pa.int32()), pa.array(bits.reshape(-1), pa.int64()))
+                        sums[k, has] = np.add.reduceat(shingles.mix(each, 11 + k), begin_each[has])
+                keys, bits = describe(batch.column(2), found, begin, count)
+                sets = _binary(each, begin_each) if store else pa.nulls(len(batch), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), listed, pa.array(sets, pa.binary()), pa.array(np.diff(begin), pa.int64()), packed],
-                    ["doc_id", "set_a", "set_b", "keys", "hashes", "size", "bits"],
+                    [batch.column(0), batch.column(1), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), listed(keys), sets, pa.array(np.diff(begin_each), pa.int64()), listed(bits)],
+                    ["doc_id", "text_key", "set_a", "set_b", "keys", "hashes", "size", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, set_a long, set_b long, keys array<long>, hashes binary, size long, bits array<long>")
+    return storage.spread(_named(docs).select("doc_id", "text_key", "text")).mapInArrow(run, "doc_id long, text_key long, set_a long, set_b long, keys array<long>, hashes binary, size long, bits array<long>")
+
+
+def hashes_again(docs: DataFrame, wanted: DataFrame, width: int, weighted: bool) -> DataFrame:
+    """node, hashes, size of ``wanted`` (node, doc_id, text_key), from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            _, bounds = shingles.utf8(whole.column(1))
+            for first, last in shingles.blocks(bounds):
+                batch = whole.slice(first, last - first)
+                *_, each, begin = elements(batch.column(1), width, weighted)
+                yield pa.RecordBatch.from_arrays([batch.column(0), _binary(each, begin), pa.array(np.diff(begin), pa.int64())], ["node", "hashes", "size"])
+
+    mine = wanted.select("node", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    named = _named(docs)
+    met = named.join(mine, named.doc_id.eqNullSafe(mine.id) & (named.text_key == mine.key)).select("node", "text")
+    return met.mapInArrow(run, "node long, hashes binary, size long").dropDuplicates(["node"])
 
 
 def _alike(threshold: float) -> Callable:
@@ -106,14 +169,14 @@ def _alike(threshold: float) -> Callable:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles are alike enough; ``sets``: node, hashes, size."""
+    """The pairs (a, b) whose elements are alike enough; ``sets``: node, hashes, size."""
     other = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("size").alias("n")), "b")
     both = other.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("size").alias("m")), "a")
     possible = both.filter(F.least("m", "n") >= F.lit(threshold - 1e-9) * F.greatest("m", "n"))
     return possible.select("a", "b", "x", "y").mapInArrow(_alike(threshold), "a long, b long")
 
 
-def frequent(sets: DataFrame, most: int = LISTED) -> dict[int, int]:
+def frequent(sets: DataFrame, scratch: storage.Scratch, most: int = LISTED) -> dict[int, int]:
     """Hashes that many of the sets hold, with about how many: counted within tasks, those met twice there or more
     added up, the highest, ``most`` at most. Only the order of hashes comes from it, so it changes costs, never results."""
 
@@ -123,23 +186,24 @@ def frequent(sets: DataFrame, most: int = LISTED) -> dict[int, int]:
             value, n = np.unique(np.concatenate(whole) if whole else np.zeros(0, np.uint32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["h", "n"])
 
-    counted = sets.select("hashes").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).checkpoint()
+    counted = scratch.keep(sets.select("hashes").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     step = F.floor(F.log2("n") * 8)
     total, least = 0, None
     for level, n in sorted(counted.groupBy(step.alias("level")).count().collect(), reverse=True):  # some hundred levels
         if total + n > most:
             break
         total, least = total + n, level
-    return dict(counted.filter(step >= least).collect()) if least is not None else {}
+    out = dict(counted.filter(step >= least).collect()) if least is not None else {}
+    scratch.drop(counted)
+    return out
 
 
-def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+def prefixes(sets: DataFrame, threshold: float, often: dict[int, int]) -> DataFrame:
     """node, key, pos (place in the order) for the rarest hashes of each set: two sets that are alike enough share at least one of them.
 
     Sets of a similarity of t or more share at least t of the larger one, so they can't miss each other in all of
     the first ``n - ceil(t * n) + 1`` hashes of one common order; with rare hashes first, few others share one.
     """
-    often = frequent(sets)
     names = np.array(sorted(often), np.int64)
     held = np.array([often[x] for x in names.tolist()], np.int64)
 
@@ -161,63 +225,90 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.select("node", "hashes").mapInArrow(run, "node long, key long, pos int")
 
 
-def near_classes(docs: DataFrame, describe: Callable[[pa.Array, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], coordinates: int, threshold: float = shingles.THRESHOLD, width: int = shingles.WIDTH) -> DataFrame:
-    """doc_id, class_id of every row: the least doc_id among the texts that are linked to its own.
+def _several(entry: DataFrame, classes: DataFrame, scratch: storage.Scratch) -> DataFrame | None:
+    """``entry`` with its present classes, where a bucket (key) has several of them; None where none has."""
+    own = [c for c in entry.columns if c != "class_id"]
+    told = scratch.keep(entry.select(own).join(classes.select("node", "class_id"), "node", "left").select(*own, F.coalesce("class_id", "node").alias("class_id")), "classed")
+    several = told.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x <> y").select("key")
+    rest = scratch.keep(told.join(several, "key"), "unsettled")
+    scratch.drop(told)
+    if not rest.isEmpty():
+        return rest
+    scratch.drop(rest)
+    return None
 
-    ``describe`` gives for texts (column, their distinct hashes, where each text's begin) an int64 array with a
-    bucket key in each column, and the :func:`sketch` of their ``coordinates`` signature values. Rows without a doc_id are classes of their own (class_id null).
-    """
-    spark = docs.sparkSession
-    storage.shared_dir(spark)
-    told = storage.materialise(describe_texts(docs, describe, width), "described")
-    named = told.filter("doc_id is not null")
-    first = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")).checkpoint()
-    member = named.select("doc_id", "set_a", "set_b").join(first, ["set_a", "set_b"]).select("doc_id", "node")
-    lone = first.withColumnRenamed("node", "doc_id").select("doc_id", "set_a", "set_b")
-    nodes = named.filter("size > 0").join(lone, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id"])
-    entry = nodes.select(F.col("doc_id").alias("node"), F.posexplode("keys").alias("band", "key"))
-    shared = entry.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key").checkpoint()
-    entry = entry.join(shared, ["band", "key"]).checkpoint()
-    candidate = entry.select("node").distinct()
-    sets = storage.materialise(named.join(candidate.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").join(lone, ["doc_id", "set_a", "set_b"], "left_semi").select(F.col("doc_id").alias("node"), "hashes", "size", "bits").dropDuplicates(["node"]), "sets")
-    storage.tidy(spark)
-    most, wide = differing(coordinates, threshold), range(-(-coordinates // 16))
-    named_bits = [F.get("bits", k).alias(f"b{k}") for k in wide]
-    own = ["node", "band", "key", "pos", "size", *(f"b{k}" for k in wide)]
-    about = sets.select("node", "size", *named_bits)
-    entry = entry.join(about, "node").withColumn("class_id", F.col("node")).withColumn("pos", F.lit(0))
 
-    def turn(entry: DataFrame, classes: DataFrame | None, links: DataFrame | None, lots: int) -> tuple:
-        """Leaders meet their buckets: what is left of the buckets that still have several classes, and all classes and links."""
+def _settle(left: DataFrame, classes: DataFrame, links: DataFrame, coordinates: int, threshold: float, scratch: storage.Scratch) -> DataFrame:
+    """Classes once all pairs of the sets ``left`` that could be linked have been compared by prefix buckets."""
+    most, wide = differing(coordinates, threshold), range(-(-coordinates // 16))
+    keyed = prefixes(left, threshold, frequent(left, scratch)).join(left.select("node", "size", *(F.get("bits", k).alias(f"b{k}") for k in wide)), "node")
+    entry = scratch.keep(keyed, "prefixes")
+    rest, lots = _several(entry, classes, scratch), FIRST
+    scratch.drop(entry)
+    alike = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0)) <= most
+    enough = F.least(F.col("size") - F.col("pos"), F.col("long") - F.col("place")) >= (F.col("size") + F.col("long")) * (threshold / (1 + threshold)) - 1e-6
+    while rest is not None:
         lot = F.pmod(F.xxhash64("node", F.lit(lots)), F.lit(lots)).alias("lot")
-        leader = entry.groupBy("band", "key", lot).agg(F.min("node").alias("leader"), F.min_by("class_id", "node").alias("led"), F.min_by("size", "node").alias("long"), F.min_by("pos", "node").alias("place"), *(F.min_by(f"b{k}", "node").alias(f"c{k}") for k in wide)).drop("lot").checkpoint()
-        alike = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0)) <= most
-        enough = F.least(F.col("size") - F.col("pos"), F.col("long") - F.col("place")) >= (F.col("size") + F.col("long")) * (threshold / (1 + threshold)) - 1e-6
-        met = entry.join(leader, ["band", "key"]).filter((F.col("class_id") != F.col("led")) & enough & alike)
-        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        found = verified(pairs, sets, threshold).checkpoint()
-        storage.tidy(spark)
-        if classes is None or found.limit(1).count():
-            links = found if links is None else links.union(found)
-            classes = connected(links)
-        return leader, classes, links
-
-    def mixed(entry: DataFrame, classes: DataFrame) -> DataFrame | None:
-        """``entry`` with its classes, where a bucket has several."""
-        told_rest = entry.join(classes, "node", "left").select(*own, F.coalesce("class_id", "node").alias("class_id"))
-        storage.tidy(spark)
-        several = told_rest.groupBy("band", "key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x <> y").select("band", "key").checkpoint()
-        return told_rest.join(several, ["band", "key"]).select(*own, "class_id").checkpoint() if several.limit(1).count() else None
-
-    _, classes, links = turn(entry, None, None, 1)
-    rest = mixed(entry.drop("class_id"), classes)
-    if rest is not None:
-        left = sets.join(rest.select("node").distinct(), "node", "left_semi")
-        keyed = prefixes(left, threshold).join(about, "node").select("node", F.lit(0).alias("band"), "key", "pos", "size", *(f"b{k}" for k in wide)).checkpoint()
-        rest, lots = mixed(keyed, classes), FIRST
-        while rest is not None:
-            leader, classes, links = turn(rest, classes, links, lots)
-            gone = leader.select("band", "key", F.col("leader").alias("node"))
-            rest, lots = mixed(rest.drop("class_id").join(gone, ["band", "key", "node"], "left_anti"), classes), lots * LEADERS
-    least = member.join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "node").alias("class_id"))
-    return least.union(told.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id")))
+        told = {"led": "class_id", "long": "size", "place": "pos"} | {f"c{k}": f"b{k}" for k in wide}
+        leader = scratch.keep(rest.groupBy("key", lot).agg(F.min("node").alias("leader"), *(F.min_by(y, "node").alias(x) for x, y in told.items())).drop("lot"), "leaders")
+        met = rest.join(leader, "key").filter((F.col("class_id") != F.col("led")) & enough & alike)
+        found = scratch.keep(verified(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), left, threshold), "links")
+        if not found.isEmpty():
+            links, old = links.union(found), classes
+            classes = connected(links, scratch)
+            scratch.drop(old)
+        gone = leader.select("key", F.col("leader").alias("node"))
+        after = _several(rest.join(gone, ["key", "node"], "left_anti"), classes, scratch)
+        scratch.drop(rest, leader)
+        rest, lots = after, lots * LEADERS
+    return classes
+
+
+def near_classes(docs: DataFrame, describe: Describe, coordinates: int, threshold: float = shingles.THRESHOLD, width: int = shingles.WIDTH, weighted: bool = False, store: bool = True) -> DataFrame:
+    """doc_id, text_key, class_id, class_key, kept of every row: the least doc_id among the texts that are linked to its
+    own (null if none has an id) with its text_key, and whether the row is that one (equal rows all are).
+
+    ``describe`` gives for texts (column, their distinct hashes, where each text's begin, their counts) an int64 array
+    with a bucket key in each column, and the :func:`sketch` of their ``coordinates`` signature values. Without
+    ``store`` the elements of texts that share a bucket are computed again from the texts, instead of kept for all.
+    """
+    spark = docs.sparkSession
+    with storage.Scratch(spark) as scratch:
+        told = scratch.keep(describe_texts(docs, describe, width, weighted, store).withColumn("row", F.monotonically_increasing_id()), "described")
+        first = scratch.keep(told.groupBy("set_a", "set_b").agg(F.min("row").alias("node")), "nodes")
+        member = scratch.keep(told.select("doc_id", "text_key", "set_a", "set_b").join(first, ["set_a", "set_b"]).select("doc_id", "text_key", "node"), "members")
+        nodes = told.filter("size > 0").join(first.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+        each = nodes.select("node", F.explode("keys").alias("key"))
+        leader = scratch.keep(each.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader"), "leaders")
+        entry = scratch.keep(each.join(leader, "key"), "entries")
+        scratch.drop(first, leader)
+        about = told.join(entry.select(F.col("node").alias("row")).distinct(), "row", "left_semi").withColumnRenamed("row", "node")
+        if store:
+            sets = scratch.keep(about.select("node", "hashes", "size", "bits"), "sets")
+            scratch.drop(told)
+        else:
+            slim = scratch.keep(about.select("node", "doc_id", "text_key", "bits"), "candidates")
+            scratch.drop(told)
+            sets = scratch.keep(hashes_again(docs, slim, width, weighted).join(slim.select("node", "bits"), "node"), "sets")
+            scratch.drop(slim)
+        wide = range(-(-coordinates // 16))
+        brief = lambda node, size, bit: sets.select(F.col("node").alias(node), F.col("size").alias(size), *(F.get("bits", k).alias(f"{bit}{k}") for k in wide))
+        pairs = entry.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(brief("b", "n", "b"), "b").join(brief("a", "m", "c"), "a")
+        alike = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0)) <= differing(coordinates, threshold)
+        likely = scratch.keep(pairs.filter(alike & (F.least("m", "n") >= F.lit(threshold - 1e-9) * F.greatest("m", "n"))).select("a", "b"), "pairs")
+        links = scratch.keep(verified(likely, sets, threshold), "links")
+        scratch.drop(likely)
+        classes = connected(links, scratch)
+        rest = _several(entry.select("node", "key"), classes, scratch)
+        scratch.drop(entry)
+        if rest is not None:
+            left = scratch.keep(sets.join(rest.select("node").distinct(), "node", "left_semi"), "unsettled-sets")
+            scratch.drop(rest, sets)
+            classes = _settle(left, classes, links, coordinates, threshold, scratch)
+        scratch.drop(sets)
+        place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+        own = member.join(classes.select("node", "class_id"), "node", "left").select("doc_id", "text_key", F.coalesce("class_id", "node").alias("class"))
+        own = scratch.keep(own, "own-classes")
+        least = own.groupBy("class").agg(F.min(place).alias("least"))
+        salted = own.withColumn("salt", F.pmod("text_key", F.lit(SALTS))).join(least.withColumn("salt", _every_salt()), ["class", "salt"])
+        return storage.materialise(salted.select("doc_id", "text_key", F.col("least.id").alias("class_id"), F.col("least.key").alias("class_key"), place.eqNullSafe(F.col("least")).alias("kept")), "classes")

@@ -1,19 +1,19 @@
 """Near-duplicate removal by DartMinHash: hashed darts thrown into weighted element regions.
 
-Each shingle owns a strip of the plane, as wide as its weight. Darts fall on every strip as a Poisson process
-drawn from hashes of (shingle, region, dart), so two texts see the same darts wherever their strips overlap. A
-text keeps, for each of ``coordinates`` places, the dart of least rank in its strips: an exact weighted MinHash
-at a cost near the text's length plus ``coordinates * ln(coordinates)``, instead of their product. Runs of
-``rows`` coordinates make the bucket keys; texts that meet in a bucket are compared by the Jaccard similarity of
-their shingle sets.
-
-:func:`near_classes` gives every shingle of a text the weight 1, as what it verifies is the Jaccard similarity of
-sets: how often a shingle occurs does not count. Other weights are only used by callers of :func:`signatures`.
+Each shingle owns a strip of the plane, as wide as its weight: how often the text has it. Darts fall on every strip
+as a Poisson process drawn from hashes of (shingle, region, dart), so two texts see the same darts wherever their
+strips overlap. A text keeps, for each of ``coordinates`` places, the dart of least rank in its strips: an exact
+weighted MinHash at a cost near the text's length plus ``coordinates * ln(coordinates)``, instead of their product.
+Runs of ``rows`` coordinates make the bucket keys; texts that meet in a bucket are compared by the weighted Jaccard
+similarity of their shingles: the sum of the lesser counts over the sum of the greater ones, which for texts that
+repeat no shingle is the Jaccard similarity of sets.
 
 Nulls, empty texts, ties: null texts count as empty; all texts without words are one class. Equal texts are one
-class whatever their number, and its least ``doc_id`` names it. Rows with a null ``doc_id`` stay and are classes
-of their own. Equal rows stay together: ``deduplicate`` keeps one of them. An empty table gives an empty result.
-Other columns are passed on by ``deduplicate`` and ignored by ``near_classes``.
+class whatever their number. Rows are told apart by what they hold, so different texts under one ``doc_id`` are
+compared and kept each for itself; rows with a null ``doc_id`` are compared like all others. A class is named by its
+least ``doc_id`` (null if it has none) and stood for by that id's text (of several: the one of least hash; without
+an id, likewise). Of equal rows ``deduplicate`` keeps one. An empty table gives an empty result. Other columns are
+passed on by ``deduplicate`` (but for names that begin with ``dart_``) and ignored by ``near_classes``.
 """
 
 from __future__ import annotations
@@ -120,18 +120,24 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def near_classes(docs: DataFrame, threshold: float = shingles.THRESHOLD, width: int = shingles.WIDTH, bands: int = BANDS, rows: int = ROWS, seed: int = 0) -> DataFrame:
-    """doc_id, class_id (least doc_id of the group of near copies) of every row of ``docs`` (doc_id, text)."""
-
-    def describe(column: pa.Array, hashes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        signature = signatures(hashes, begin, np.ones(len(hashes)), bands * rows, seed)
+def _classes(docs: DataFrame, threshold: float = shingles.THRESHOLD, width: int = shingles.WIDTH, bands: int = BANDS, rows: int = ROWS, seed: int = 0) -> DataFrame:
+    def describe(column: pa.Array, hashes: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        signature = signatures(hashes, begin, count.astype(np.float64), bands * rows, seed)
         return band_keys(signature, bands, rows), components.sketch(signature)
 
-    return components.near_classes(docs, describe, bands * rows, threshold, width)
+    return components.near_classes(docs, describe, bands * rows, threshold, width, weighted=True)
+
+
+def near_classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, class_id (least doc_id of the group of near copies), class_key (which tells classes of one least id
+    apart), kept (whether the row stands for its class) of every row of ``docs`` (doc_id, text). Options: threshold,
+    width, bands, rows, seed."""
+    return _classes(docs, **options).select("doc_id", "class_id", "class_key", "kept")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each class, the row whose doc_id names it (one of equal rows)."""
-    kept = near_classes(docs.select("doc_id", "text"), **options).filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id is null"))
+    """The rows of ``docs`` without near copies: of each class the row that stands for it (one of equal rows)."""
+    chosen = _classes(docs.select("doc_id", "text"), **options).filter("kept").select(F.col("doc_id").alias("dart_id"), F.col("text_key").alias("dart_key")).distinct()
+    named = docs.withColumn("dart_own_key", components.text_key(F.col("text").cast("string")))
+    met = named.join(chosen, named.doc_id.cast("long").eqNullSafe(chosen.dart_id) & (named.dart_own_key == chosen.dart_key), "left_semi")
+    return met.dropDuplicates(["doc_id", "dart_own_key"]).select(*(F.col(f"`{c}`") for c in docs.columns))

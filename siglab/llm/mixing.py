@@ -1,20 +1,23 @@
 """Mixing sources to target weights by Poisson replication.
 
 A source of ``n`` rows whose target share of ``total`` is ``w`` has the mean repetition rate ``w * total / n``.
-A uniform number hashed from (seed, doc_id, source) is put through the inverse Poisson distribution of that mean
-to give each row's count; the row is exploded into as many copies, and all copies are ordered by a hash of
-(seed, doc_id, copy), dealt by ranges. Only DataFrame functions are used, no Python runs on the rows.
+A uniform number hashed from the row's content is put through the inverse Poisson distribution of that mean to give
+the row's count; the row is exploded into as many copies, and all copies are ordered by a hash of (content, copy),
+dealt by ranges. Content is (seed, doc_id, source, MD5 of the text). Only DataFrame functions are used, no Python
+runs on the rows.
 
 Nulls, empty texts, ties: a null source is a source of its own; sources without a target weight have weight 0
-and give no rows; weights of sources without rows are spread over the others by proportion. Text is not looked
-at. Rows with equal doc_id and source draw equal counts; a null doc_id draws as one value. An empty table gives
-an empty result. Columns are passed on whatever their names (but for the four that are added, whose names must
-be free).
+and give no rows; weights of sources without rows are spread over the others by proportion. A null text counts as
+a value of its own. Rows with a null or repeated doc_id draw by their texts; rows that are equal in doc_id, source
+and text draw the same count, and their copies lie side by side. An empty table gives an empty result. Columns are
+passed on whatever their names; only ``repeats_``, ``rate_``, ``copy_`` and ``mixed_at_``, which are added, must be
+free, or a ValueError says so.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,14 +30,18 @@ SEED = 17
 LISTED = 2000
 
 
-def _md5_part(value: Column, first: int) -> Column:
-    return F.conv(F.substring(F.md5(value), first, 13), 16, 10).cast("long")
+ADDED = ("repeats_", "rate_", "copy_", "mixed_at_")
 
 
-def uniform(seed: int, *columns: Column) -> Column:
+def content(seed: int) -> Column:
+    """An MD5 sum of what a row is: the seed, its doc_id, its source and its text."""
+    told = (F.coalesce(F.col(x).cast("string"), F.lit("~")) for x in ("doc_id", "source"))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *told, F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit("~"))).cast("binary"))
+
+
+def uniform(sum_: Column) -> Column:
     """A number in [0, 1) in steps of 2^-52, from the first 13 hexadecimal digits of an MD5 sum."""
-    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(x.cast("string"), F.lit("~")) for x in columns))
-    return _md5_part(text.cast("binary"), 1).cast("double") / F.lit(float(1 << 52))
+    return F.conv(F.substring(sum_, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
 def law(mean: float) -> list[float]:
@@ -62,20 +69,31 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = 0.5,
     ``weights``: target share by source (any positive scale); None for :func:`tempered` ones of the table itself.
     ``total``: expected rows of the result; None for as many as ``docs`` has.
     """
+    if taken := [c for c in docs.columns if c.lower() in ADDED]:
+        raise ValueError(f"The columns {', '.join(taken)} are added by mixing; rename them first.")
     counts = docs.groupBy("source").agg(F.count("*").alias("n_"))
     known = dict(counts.limit(LISTED + 1).collect())
-    u = uniform(seed, F.col("doc_id"), F.col("source"))
-    if len(known) > LISTED:
-        drawn = _joined(docs, laws_table(counts, weights, temperature, total), u)
-    else:
-        drawn = _listed(docs, known, weights, temperature, total, u)
-    copies = drawn.withColumn("copy_", F.explode(F.sequence(F.lit(0), F.col("repeats_") - 1)))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.col("copy_").cast("string")).cast("binary"))
-    return copies.withColumn("mixed_at_", key).orderBy("mixed_at_")
+    rates = laws_table(counts, weights, temperature, total) if len(known) > LISTED else None
+    steps = _listed(known, weights, temperature, total) if rates is None else F.col("mixing_steps_")
+    # The laws are written first, so that both sides have an exchange of their own and a source of many rows can be split.
+    met = docs if rates is None else docs.join(storage.materialise(rates, "laws"), F.col("source").eqNullSafe(F.col("mixing_source_")))
+
+    def copies(sum_: Column) -> Column:
+        n = _once(uniform(sum_), lambda u: F.size(F.filter(steps, lambda x: x <= u)))
+        each = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(n.alias("repeats_"), k.alias("copy_"), F.md5(F.concat_ws("|", sum_, k.cast("string")).cast("binary")).alias("mixed_at_")))
+        return _once(n, lambda n: F.when(n > 0, each(n)))
+
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return met.select(*own, (-F.log(steps[0])).alias("rate_"), F.inline(_once(content(seed), copies))).orderBy("mixed_at_")
 
 
-def _listed(docs: DataFrame, known: dict, weights: dict | None, temperature: float, total: int | None, u: Column) -> DataFrame:
-    """Rows that are drawn, with ``repeats_`` and ``rate_``; the laws are written into the plan."""
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, wherever and however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _listed(known: dict, weights: dict | None, temperature: float, total: int | None) -> Column:
+    """The law of a row's source, as the plan says it; null for a source without one."""
     shares = tempered(known, temperature) if weights is None else {k: float(w) for k, w in weights.items() if known.get(k)}
     whole = sum(shares.values())
     total = sum(known.values()) if total is None else total
@@ -84,9 +102,7 @@ def _listed(docs: DataFrame, known: dict, weights: dict | None, temperature: flo
     steps = listed[F.col("source")] if listed is not None else F.lit(None).cast("array<double>")
     if None in laws:
         steps = F.when(F.col("source").isNull(), F.array(*map(F.lit, laws[None]))).otherwise(steps)
-    n = F.when(steps.isNull(), 0).otherwise(F.size(F.filter(steps, lambda x: x <= F.col("u_")))).cast("int")
-    rate = F.when(steps.isNull(), 0.0).otherwise(-F.log(steps[0]))
-    return docs.withColumn("u_", u).withColumn("repeats_", n).withColumn("rate_", rate).filter("repeats_ > 0").drop("u_")
+    return steps
 
 
 def laws_table(counts: DataFrame, weights: dict | None, temperature: float, total: int | None) -> DataFrame:
@@ -112,10 +128,3 @@ def laws_table(counts: DataFrame, weights: dict | None, temperature: float, tota
     summed = terms.withColumn("p_", F.exp(log)).withColumn("c_", F.sum("p_").over(upto))
     laws = summed.groupBy("m_").agg(F.transform(F.sort_array(F.collect_list(F.struct("k_", "c_"))), lambda x: x["c_"]).alias("mixing_steps_"))
     return rates.join(laws, "m_").select(F.col("source").alias("mixing_source_"), F.col("m_").alias("mixing_rate_"), "mixing_steps_")
-
-
-def _joined(docs: DataFrame, laws: DataFrame, u: Column) -> DataFrame:
-    """The same as :func:`_listed` for any number of sources. The laws are written first, so that both sides have an exchange of their own and a source of many rows can be split."""
-    met = docs.join(storage.materialise(laws, "laws"), F.col("source").eqNullSafe(F.col("mixing_source_"))).withColumn("u_", u)
-    n = F.size(F.filter("mixing_steps_", lambda x: x <= F.col("u_"))).cast("int")
-    return met.select(*(F.col(f"`{c}`") for c in docs.columns), n.alias("repeats_"), F.col("mixing_rate_").alias("rate_")).filter("repeats_ > 0")

@@ -172,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             n = len(left)
             yield rows([[None] * n, [None] * n, [None] * n, list(left.values()), [None] * n, [task] * n, list(left), [None] * n, [None] * n], [True] * n)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return storage.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids_crc32 long, task long, bin long, offset long, ids binary, open boolean"
     )
 

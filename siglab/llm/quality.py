@@ -227,7 +227,7 @@ def described(docs: DataFrame) -> DataFrame:
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(STATISTICS), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), listed], ["doc_id", "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, stats array<double>")
+    return storage.spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, "doc_id long, stats array<double>")
 
 
 def score(docs: DataFrame, labels: DataFrame, seed: int = 5, ridge: float = RIDGE) -> DataFrame:

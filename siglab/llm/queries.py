@@ -25,7 +25,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.against_next(_documents(spark, sf_dir))
+    docs = _documents(spark, sf_dir)
+    return fingerprint.against_next(docs, fingerprint.classes(docs))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op6_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dart_dedup.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return dart_dedup.near_classes(_documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
 
 
 def op8_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,16 +80,18 @@ WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 share AS (SELECT source, n, sqrt(n::double) / (SELECT sum(sqrt(n::double)) FROM n) AS w, (SELECT sum(n) FROM n) AS total FROM n),
 mean AS (SELECT source, w * total / n AS m FROM share),
 law AS (SELECT source, k, sum(term) OVER (PARTITION BY source ORDER BY k) AS c
-        FROM (SELECT source, k, exp(-m) * power(m, k) / gamma(k + 1.0) AS term FROM mean, range(0, 40) t(k))),
-u AS (SELECT doc_id, source, lang, n_chars, text,
-             ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::varchar, '~'), coalesce(source, '~'))), 1, 13))::bigint::double / 4503599627370496.0 AS u
-      FROM documents),
+        FROM (SELECT source, k, exp(CASE WHEN k > 0 THEN k * ln(m) ELSE 0 END - m - lgamma(k + 1.0)) AS term
+              FROM (SELECT source, m, unnest(range(0, (m + 12 * sqrt(m) + 40)::bigint)) AS k FROM mean))),
+d AS (SELECT doc_id, source, lang, n_chars, text,
+             md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::varchar, '~'), coalesce(source, '~'), coalesce(md5(text), '~'))) AS content FROM documents),
+u AS (SELECT *, ('0x' || substr(content, 1, 13))::bigint::double / 4503599627370496.0 AS u FROM d),
 drawn AS (SELECT u.*, (SELECT count(*) FROM law WHERE law.source IS NOT DISTINCT FROM u.source AND law.c <= u.u) AS repeats_ FROM u)
 SELECT doc_id, source, lang, n_chars, text, repeats_::integer AS repeats_, copy_::integer AS copy_,
-       md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::varchar, '~'), copy_::varchar)) AS mixed_at_
+       md5(concat_ws('|', content, copy_::varchar)) AS mixed_at_
 FROM drawn, LATERAL (SELECT unnest(range(0, repeats_)) AS copy_)
 """
 
+
 def _matches(kind: int, pattern: str, group: int, keep: str = "true") -> str:
     """Spans of one kind: the lengths of what is between matches and of matches, added up."""
     p = pattern.replace("'", "''")

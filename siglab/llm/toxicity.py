@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siglab.llm import shingles
+from siglab.llm import shingles, storage
 
 #: Labelled documents that the models are fitted on, at most.
 SAMPLE = 6000
@@ -210,5 +210,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, r
     whole = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = T.StructType([*(whole.schema[c] for c in keep), *(T.StructField(f"p_{x}", T.DoubleType()) for x in chain.names)])
     sent = [*keep] if own else [*keep, F.col("text").cast("string").alias("text_")]
-    scored = whole.select(*sent).mapInArrow(run, schema)
+    scored = storage.spread(whole.select(*sent)).mapInArrow(run, schema)
     return scored.withColumn("toxic", (F.col(f"p_{chain.names[-1]}") >= threshold).cast("int"))

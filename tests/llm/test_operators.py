@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from siglab.llm import components, dart_dedup, fingerprint, line_runs, mixing, packing, quality, queries, secrets, sharding, shingles, topk, toxicity
+from siglab.llm import components, dart_dedup, fingerprint, line_runs, mixing, packing, quality, queries, secrets, sharding, shingles, storage, topk, toxicity
 
 
 def words(seed, n, size=4000):
@@ -175,6 +176,27 @@ def test_toxicity_finds_held_out_words(spark, docs):
 # Mixing (4)
 
 
+def drawn(doc_id, source, text):
+    told = ["~" if x is None else str(x) for x in (doc_id, source)] + ["~" if text is None else hashlib.md5(text.encode()).hexdigest()]
+    return int(hashlib.md5("|".join([str(mixing.SEED), *told]).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def test_rows_without_an_id_draw_each_for_itself(spark, docs):
+    table = docs([(None, f"t{i}", "a") for i in range(1000)] + [(5, f"t{i}", "b") for i in range(1000)] + [(6, "t", "c")] * 3)
+    got = mixing.mix(table).toPandas()
+    for source, id_ in (("a", None), ("b", 5)):
+        rate = got[got.source == source].rate_.iloc[0]
+        law = mixing.law(rate)
+        want = Counter({f"t{i}": sum(c <= drawn(id_, source, f"t{i}") for c in law) for i in range(1000)})
+        assert Counter(got[got.source == source].text) == +want and sum(want.values()) > 700
+    assert got[got.source == "c"].groupby("copy_").size().isin([3]).all() and got.mixed_at_[got.source != "c"].is_unique
+    free = mixing.mix(table.withColumn("u_", F.lit(1)).withColumn("n_", F.lit(2)).withColumn("sum_", F.lit(3))).toPandas()
+    assert {"u_", "n_", "sum_"} <= set(free.columns) and len(free) == len(got) and (free.u_ == 1).all()
+    for name in mixing.ADDED:
+        with pytest.raises(ValueError, match=name):
+            mixing.mix(table.withColumn(name, F.lit(1)))
+
+
 def test_poisson_law_and_mixture(spark, docs):
     law = mixing.law(2.5)
     assert np.isclose(law[0], math.exp(-2.5)) and np.isclose(law[-1], 1.0) and all(a < b for a, b in zip(law[:12], law[1:13]))
@@ -187,8 +209,7 @@ def test_poisson_law_and_mixture(spark, docs):
     one = got.groupby(["doc_id", "source"]).agg(n=("copy_", "size"), m=("repeats_", "max"), last=("copy_", "max"))
     assert (one.n == one.m).all() and (one["last"] == one.n - 1).all()
     for r in got.head(50).itertuples():
-        digits = hashlib.md5(f"{mixing.SEED}|{'~' if pd.isna(r.doc_id) else int(r.doc_id)}|{r.source}".encode()).hexdigest()[:13]
-        u, rate = int(digits, 16) / 2**52, r.rate_
+        u, rate = drawn(None if pd.isna(r.doc_id) else int(r.doc_id), r.source, r.text), r.rate_
         k, c = 0, math.exp(-rate)
         term = c
         while c <= u:
@@ -213,7 +234,7 @@ def test_mixing_of_more_sources_than_are_listed(spark, docs):
     laws = {m: mixing.law(m) for m in set(rates.values())}
     want = Counter()
     for i, _, source in rows:
-        u = int(hashlib.md5(f"{mixing.SEED}|{'~' if i is None else i}|{'~' if source is None else source}".encode()).hexdigest()[:13], 16) / 2**52
+        u = drawn(i, source, "t")
         want[i] += sum(c <= u for c in laws[rates[source]])
     assert Counter(None if pd.isna(x) else int(x) for x in got.doc_id) == +want
     assert all(math.isclose(r, rates[None if pd.isna(s) else s], rel_tol=1e-9) for s, r in zip(got.source, got.rate_)) and got.mixed_at_.is_monotonic_increasing
@@ -317,9 +338,82 @@ def test_a_large_group_of_near_copies_is_one_class(spark, docs):
     assert sorted(kept) == [0, *range(900, 930)]
 
 
+def test_texts_under_one_id_are_kept_each_for_itself(spark, docs):
+    a, b, c = (words(i, 80) for i in (1, 2, 3))
+    near = changed(b, 70, 1)
+    got = sorted(tuple(r) for r in dart_dedup.deduplicate(docs([(1, a), (1, b), (2, b), (3, c), (3, c), (None, near), (None, a + " z"), (None, words(4, 50)), (5, None), (6, "")])).select("doc_id", "text").collect() if r.doc_id is not None)
+    assert got == sorted([(1, a), (1, b), (3, c), (5, None)])
+    table = docs([(1, a), (1, b), (2, b), (3, c), (None, near), (None, words(4, 50))]).withColumn("row", F.lit(7)).withColumn("class_id", F.lit("x")).withColumn("text_key", F.lit(1))
+    out = dart_dedup.deduplicate(table)
+    assert out.columns == table.columns and sorted(r.text for r in out.collect()) == sorted([a, b, c, words(4, 50)])
+    found = fingerprint.near_duplicates(table).collect()
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in found) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+
+
+def plain_weighted(a, b, width=5):
+    def counted(text):
+        w = text.split()
+        return Counter(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else Counter()
+
+    x, y = counted(a), counted(b)
+    return sum((x & y).values()) / sum((x | y).values()) if x or y else 1.0
+
+
+def test_repeats_of_a_shingle_count(spark, docs):
+    once, often = words(5, 60), words(6, 30)
+    rows = [(1, once), (2, once + (" " + often) * 9), (3, once + (" " + often) * 10), (4, once + (" " + often) * 2), (5, often * 1)]
+    got = {r.doc_id: r.class_id for r in dart_dedup.near_classes(docs(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5} and plain_weighted(rows[1][1], rows[2][1]) > 0.8 > plain_weighted(rows[2][1], rows[3][1]) and jaccard(rows[2][1], rows[3][1]) > 0.8
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the driver's tables")
+def test_recall_against_all_pairs(spark):
+    """Links between different texts, by all pairs: weighted Jaccard for the darts, that of sets for the fingerprints."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text or "") for r in table.collect()]
+    names = {}
+    bags = []
+    for _, text in rows:
+        w = text.split()
+        bags.append(Counter(names.setdefault(tuple(w[i : i + 5]), len(names)) for i in range(max(1, len(w) - 4))) if w else Counter())
+    where = {}
+    for i, bag in enumerate(bags):
+        for k in bag:
+            where.setdefault(k, []).append(i)
+    shared, weighed = Counter(), Counter()
+    for k, held in where.items():
+        for x, i in enumerate(held):
+            for j in held[x + 1 :]:
+                shared[i, j] += 1
+                weighed[i, j] += min(bags[i][k], bags[j][k])
+    size = [sum(b.values()) for b in bags]
+    for f, links in ((fingerprint.near_duplicates, [p for p, n in shared.items() if n >= 0.8 * (len(bags[p[0]]) + len(bags[p[1]]) - n)]), (dart_dedup.near_classes, [p for p, n in weighed.items() if n >= 0.8 * (size[p[0]] + size[p[1]] - n)])):
+        got = {r.doc_id: r.class_id for r in f(table).collect()}
+        found = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in links)
+        parent = list(range(len(rows)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in links:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+        wordless = [i for i, b in enumerate(bags) if not b]
+        least = {}
+        for i, (d, _) in enumerate(rows):
+            r = root(wordless[0] if not bags[i] else i)
+            least[r] = min(d, least.get(r, d))
+        print(f.__module__, len(links), found)
+        assert found >= 0.9 * len(links) and len(links) > 20
+        assert sum(got[d] != least[root(wordless[0] if not bags[i] else i)] for i, (d, _) in enumerate(rows)) <= 0.01 * len(rows)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 102)], "a long, b long")
-    got = {r.node: r.class_id for r in components.connected(links).collect()}
+    with storage.Scratch(spark) as scratch:
+        got = {r.node: r.class_id for r in components.connected(links, scratch).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in (100, 101, 102))
 
 
