@@ -2,9 +2,10 @@
 
 A run is a table of (line key hash, documents that hold it), bucketed and sorted by the hash. Documents come in
 batches. A new batch counts its own line keys, merge-anti-joins those that the runs already know as frequent
-(they need no more counting), and is added as a run of level 0; a level with ``fanout`` runs is compacted into
-one run of the next. Runs and batches share bucketing, so merges read sorted buckets side by side. At the end
-all runs are merged once, and the keys that enough documents hold lose their lines everywhere.
+(they need no more counting, as one run alone has enough documents), and is added as a run of level 0; a level with
+``fanout`` runs is compacted into one run of the next. Runs and batches share bucketing, so each anti-join reads
+sorted buckets side by side. At the end all runs are merged once, and the keys that enough documents hold lose their
+lines everywhere. Work on one text grows with its lines, but for a sort of their hashes.
 
 A line's key is the line without ASCII white space at its ends, with A-Z lower-cased. Keys are held as 128 bits.
 
@@ -17,6 +18,7 @@ Each row counts as a document, equal rows too. A text whose lines all go becomes
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,16 @@ def key_hash(key: Column, least: int) -> Column:
     return F.when(F.char_length(key) >= least, F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(7), key, F.lit(11)).alias("b")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _distinct(hashes: str) -> Column:
+    """Each hash of an array once, by sorting: ``array_distinct`` compares structs pair by pair."""
+    return _once(F.sort_array(F.filter(hashes, lambda x: x.isNotNull())), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
+
+
 class Runs:
     """Levels of bucketed, sorted runs (a, b, n) as tables of the session's catalog, which lives in the warehouse."""
 
@@ -69,9 +81,8 @@ class Runs:
     def add(self, keys: DataFrame, least: int) -> None:
         """A batch's (a, b), a row for each document and key, joins the runs."""
         counts = keys.groupBy("a", "b").agg(F.count("*").alias("n"))
-        known = self.frequent(least)
-        if known is not None:
-            counts = counts.join(known, ["a", "b"], "left_anti")
+        for table in [x for level in self.levels for x in level]:
+            counts = counts.join(self.spark.table(table).filter(F.col("n") >= least).select("a", "b"), ["a", "b"], "left_anti")
         self._push(self._write(counts), 0)
 
     def _push(self, table: str, level: int) -> None:
@@ -98,17 +109,19 @@ def drop_frequent(docs: DataFrame, documents: int = DOCUMENTS, least_chars: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.withColumn("text", text).withColumn("line_runs_key", F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("n")))
     lines = F.transform(F.split("text", "\n", -1), lambda x: key_hash(line_key(x), least_chars))
-    keyed = storage.materialise(named.select("line_runs_key", lines.alias("lines"), F.pmod(F.xxhash64("line_runs_key"), F.lit(batches)).alias("batch")), "line-keys")
+    keyed = storage.materialise(storage.spread(named.select("line_runs_key", "text")).select("line_runs_key", lines.alias("lines"), F.pmod(F.xxhash64("line_runs_key"), F.lit(batches)).alias("batch")), "line-keys")
     runs = Runs(spark, fanout)
-    for k in range(batches):
-        own = keyed.filter(F.col("batch") == k).select(F.explode(F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))).alias("x")).select("x.a", "x.b")
-        runs.add(own, documents)
-    frequent = storage.materialise(runs.frequent(documents), "frequent-lines")
-    runs.close()
+    try:
+        for k in range(batches):
+            with storage.shuffles_let_go(spark):
+                runs.add(keyed.filter(F.col("batch") == k).select(F.explode(_distinct("lines")).alias("x")).select("x.a", "x.b"), documents)
+        frequent = storage.materialise(runs.frequent(documents), "frequent-lines")
+    finally:
+        runs.close()
     each = keyed.select("line_runs_key", F.posexplode("lines").alias("at", "x")).filter("x is not null").select("line_runs_key", "at", "x.a", "x.b")
     gone = each.join(frequent, ["a", "b"]).groupBy("line_runs_key").agg(F.collect_set("at").alias("line_runs_gone"))
     split = F.split("text", "\n", -1)
-    kept = F.when(F.col("line_runs_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("line_runs_gone", i)), "\n"))
+    kept = F.when(F.col("line_runs_gone").isNull(), F.col("text")).otherwise(_once(split, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "line_runs_gone"), lambda i: F.get(x, i)), "\n")))
     both = named.join(gone.withColumnRenamed("line_runs_key", "line_runs_same"), F.col("line_runs_key").eqNullSafe(F.col("line_runs_same")), "left")
     counted = both.withColumn("line_runs_n_lines", F.size(split).cast("long")).withColumn("line_runs_n_dropped", F.coalesce(F.size("line_runs_gone"), F.lit(0)).cast("long")).withColumn("text", kept)
-    return counted.select(*docs.columns, "line_runs_n_lines", "line_runs_n_dropped")
+    return counted.select(*(F.col(f"`{c}`") for c in docs.columns), "line_runs_n_lines", "line_runs_n_dropped")

@@ -13,6 +13,8 @@ result. Extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,27 +36,34 @@ OWNERS = 3
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running(lengths: Column) -> Column:
+    """The running sums of an array of numbers, by doubling: each turn adds what stands 1, 2, 4, ... places before, so
+    an array of n numbers takes log2(n) turns."""
+    turn = lambda acc, step: F.when(F.size(acc) > step, F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - step), F.lit(0)))).otherwise(acc)
+    return F.aggregate(F.lit([1 << k for k in range(31)]), lengths, turn)
+
+
 def _spans(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
     """Start, kind, end (code points, end exclusive) and value of each leftmost non-overlapping match."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    start = lambda acc, x: acc["at"] + F.char_length(x["gap"])
-    walked = F.aggregate(
-        F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("match"), value.alias("value")), lambda x: x["match"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (start(acc, x) + F.char_length(x["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), F.lit(kind).alias("kind"), (start(acc, x) + F.char_length(x["match"])).alias("end"), x["value"].alias("value")))).cast(_SPAN).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.array().cast(_SPAN))
+
+    def placed(match: Column) -> Column:
+        ends = running(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(match)), match, lambda gap, m: F.char_length(gap) + F.char_length(m)))
+        value = lambda m: F.regexp_extract(m, pattern, group) if group else m
+        span = lambda m, end: F.struct((end - F.char_length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), value(m).alias("value"))
+        return F.when(F.size(match) == 0, F.array().cast(_SPAN)).otherwise(F.zip_with(match, ends, span))
+
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def candidates(text: Column) -> Column:
     """All candidate spans of a text, by start, then kind."""
     assigned = F.filter(_spans(text, 0, ASSIGN, 2), lambda x: F.char_length(x["value"]) >= LEAST_ASSIGNED)
-    return F.array_sort(F.concat(assigned, _spans(text, 1, ACCESS), _spans(text, 2, HEX), _spans(text, 3, VENDOR)))
+    return F.sort_array(F.concat(assigned, _spans(text, 1, ACCESS), _spans(text, 2, HEX), _spans(text, 3, VENDOR)))
 
 
 def _listed(spans: Column) -> Column:
@@ -80,7 +89,7 @@ def scan(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNER
     held = storage.materialise(held, "ownership")
     judged = each.join(held, "sum").select("row", "x", "owners", "repositories", (F.col("x.random") & (F.col("owners") < owners)).alias("live"))
     by_row = judged.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(F.col("live"), F.struct(F.col("x.start").alias("start"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"))))).alias("live"),
+        F.sort_array(F.collect_list(F.when(F.col("live"), F.struct(F.col("x.start").alias("start"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"))))).alias("live"),
         F.count_if(F.col("owners") >= owners).alias("n_copied"), F.max("owners").alias("most_owners"), F.max("repositories").alias("most_repositories"),
     )
     base = F.filter("spans", lambda x: x["kind"] < 3)
@@ -89,6 +98,6 @@ def scan(docs: DataFrame, owner: Column, repository: Column, owners: int = OWNER
     many = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     return found.join(by_row, "row", "left").select(
         "doc_id", many(0).alias("n_assign"), many(1).alias("n_access"), many(2).alias("n_hex"), F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed(F.array_sort(F.concat(plain, F.filter(live, lambda x: x["kind"] == 3)))).alias("spans"),
+        _listed(F.sort_array(F.concat(plain, F.filter(live, lambda x: x["kind"] == 3)))).alias("spans"),
         F.size(live).cast("long").alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"), F.coalesce("most_owners", F.lit(0)).alias("most_owners"), F.coalesce("most_repositories", F.lit(0)).alias("most_repositories"), _listed(live).alias("live_spans"),
     )

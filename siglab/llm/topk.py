@@ -2,14 +2,17 @@
 
 Vectors are cut into blocks of rows. In a block, each dimension has a posting list of the rows where it is not
 zero, with their weights. A query, as sparse (dimension, weight) terms, scatters weight times postings into a
-dense array of the block's scores; a partition selection keeps the k best of the block, and a second one those
-of all blocks. Queries meet candidates block by block, both in blocks of fixed size, so neither side is ever
-broadcast or held whole.
+dense array of the block's scores; a partition selection keeps the k best of the block. Blocks of queries and of
+candidates make a grid, cut into tiles; a task holds a tile's queries, lets the tile's candidates stream by, and
+keeps the k best of each query so far, so a tile gives k rows a query, and a last selection merges the tiles. Tiles
+are found by arithmetic on block numbers; neither side is ever broadcast or held whole.
 
 Nulls, ties, repeats: vectors that are null or hold a null or non-finite component take no part, as query or
-candidate; nor do rows with a null id. Equal scores go to the smaller id. A query's own row is told by its id:
-rows that repeat that id are not its results. Vectors of differing lengths count as zero beyond their end. Scores
-are exact while they fit in 64 bits. An empty table gives an empty result. Extra columns are ignored.
+candidate; nor do rows with a null id. Equal scores go to the smaller id. Rows are told apart by a row number, not by
+their id: a query's candidates are all rows but itself, so an id that repeats can be a result more than once, and
+be a result of the other rows of that id; each row of a repeated query id has results (ranks from 1) of its own.
+Vectors of differing lengths count as zero beyond their end. Scores are exact while they fit in 64 bits. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from siglab.llm import storage
 K = 20
 ROWS_A_BLOCK = 2048
 QUERIES_A_BLOCK = 256
+#: Blocks of queries, and of candidates, that meet in one tile.
+BLOCKS_A_TILE = 16
+#: Partitions of the grid at most; beyond, a partition has several tiles, one after another.
+MOST_PARTITIONS = 20_000
 
 
 def postings(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -47,21 +54,42 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its id, ids and scores of its k best rows of the block."""
-    lists = postings(rows)
-    for name, query in zip(query_ids, queries):
-        scores = np.zeros(len(rows), np.int64)
-        for term in np.flatnonzero(query[: len(lists)]):
-            at, weight = lists[term]
-            scores[at] += query[term] * weight
-        other = np.flatnonzero(ids != name)
-        found = other[best(scores[other], ids[other], k)]
-        yield int(name), ids[found], scores[found]
-
-
-def _blocks(rows: DataFrame, size: int, n: int, salt: int) -> DataFrame:
-    """Rows (vec_id, v) packed into binary blocks of about ``size``: block, ids, dims, data."""
+class Tile:
+    """Blocks of queries, each with its best results so far."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.ids = k, [], []
+        self.vectors: list[np.ndarray] = []
+        self.best: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def ask(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.rows += rows.tolist()
+        self.ids += ids.tolist()
+        self.vectors += list(vectors)
+        self.best += [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(rows)
+
+    def meet(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """A block of candidates."""
+        lists = postings(vectors)
+        for i, (own, query) in enumerate(zip(self.rows, self.vectors)):
+            scores = np.zeros(len(rows), np.int64)
+            for term in np.flatnonzero(query[: len(lists)]):
+                at, weight = lists[term]
+                scores[at] += query[term] * weight
+            other = np.flatnonzero(rows != own)
+            found = other[best(scores[other], ids[other], self.k)]
+            score, name = np.concatenate([self.best[i][0], scores[found]]), np.concatenate([self.best[i][1], ids[found]])
+            top = best(score, name, self.k)
+            self.best[i] = score[top], name[top]
+
+    def results(self) -> pa.RecordBatch:
+        n = [len(x) for x, _ in self.best]
+        flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(self.rows, np.int64), n)), pa.array(np.repeat(np.array(self.ids, np.int64), n)), flat([y for _, y in self.best]), flat([x for x, _ in self.best])], ["query_row", "query_id", "vec_id", "score"])
+
+
+def _blocks(rows: DataFrame, size: int, n: int, salt: int) -> tuple[DataFrame, int]:
+    """Rows (row, vec_id, v) packed into binary blocks of about ``size``: block, rows, ids, dims, data; and the number of blocks."""
     count = max(1, -(-n // size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,59 +97,62 @@ def _blocks(rows: DataFrame, size: int, n: int, salt: int) -> DataFrame:
         at = None
 
         def packed() -> pa.RecordBatch:
-            wide = max(len(v) for _, v in held)
+            wide = max(len(v) for *_, v in held)
             data = np.zeros((len(held), wide), np.int64)
-            for i, (_, v) in enumerate(held):
+            for i, (*_, v) in enumerate(held):
                 data[i, : len(v)] = v
-            ids = np.array([x for x, _ in held], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([wide], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["block", "ids", "dims", "data"])
+            told = [np.array([x[k] for x in held], np.int64).tobytes() for k in range(2)]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *(pa.array([x], pa.binary()) for x in told), pa.array([wide], pa.int32()), pa.array([data.tobytes()], pa.binary())], ["block", "rows", "ids", "dims", "data"])
 
         for batch in batches:
-            flat, bounds = batch.column(2).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
-            for i, (block, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            flat, bounds = batch.column(3).flatten().to_numpy(), np.concatenate([[0], np.cumsum(batch.column(3).value_lengths().to_numpy())])
+            for i, (block, row, name) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
                 if held and (block != at or len(held) == size):
                     yield packed()
                     held = []
                 at = block
-                held.append((name, flat[bounds[i] : bounds[i + 1]]))
+                held.append((row, name, flat[bounds[i] : bounds[i + 1]]))
         if held:
             yield packed()
 
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).alias("block"), "vec_id", "v")
-    return dealt.repartition(F.col("block")).sortWithinPartitions("block", "vec_id").mapInArrow(run, "block long, ids binary, dims int, data binary")
+    dealt = rows.select(F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(count)).alias("block"), "row", "vec_id", "v")
+    return dealt.repartition(F.col("block")).sortWithinPartitions("block", "row").mapInArrow(run, "block long, rows binary, ids binary, dims int, data binary"), count
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = 64.0, rows_a_block: int = ROWS_A_BLOCK, queries_a_block: int = QUERIES_A_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = 64.0, rows_a_block: int = ROWS_A_BLOCK, queries_a_block: int = QUERIES_A_BLOCK, tile: int = BLOCKS_A_TILE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that ``is_query`` holds for,
     the k other rows of highest inner product of ``floor(scale * component)``."""
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), is_query.alias("asks"))
     sound = whole.filter("vec_id is not null and e is not null").filter(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    usable = storage.materialise(sound.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v"), "asks"), "vectors")
-    n, asked = usable.agg(F.count("*"), F.count_if("asks")).first()
-    there = storage.materialise(_blocks(usable.select("vec_id", "v"), rows_a_block, n, 1).withColumn("at", F.monotonically_increasing_id()), "candidates")
-    asks = _blocks(usable.filter("asks").select("vec_id", "v"), queries_a_block, asked, 2)
-    places = there.select("at")
-    grid = storage.materialise(asks.select(F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("data").alias("q_data")), "queries")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_ids, q_dims, q_data, ids, dims, data in zip(*(x.to_pylist() for x in batch.columns)):
-                got = list(search_block(np.frombuffer(q_ids, np.int64), np.frombuffer(q_data, np.int64).reshape(-1, q_dims), np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, dims), k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([x for x, _, _ in got], [len(y) for _, y, _ in got]).astype(np.int64)), pa.array(np.concatenate([y for _, y, _ in got])), pa.array(np.concatenate([z for _, _, z in got]))],
-                    ["query_id", "vec_id", "score"],
-                )
-
-    found = _meet(grid, there, places).mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _meet(asks: DataFrame, there: DataFrame, places: DataFrame) -> DataFrame:
-    """Each block of queries with each block of candidates: every query block is sent to every candidate block,
-    in rows of bounded size, and joined there on the block's number."""
-    spark = asks.sparkSession
-    numbers = [x[0] for x in places.collect()]  # a number for each block of thousands of rows
-    sent = asks.withColumn("at", F.explode(F.lit(numbers or [-1]).cast("array<long>")))
-    parts = max(len(numbers), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return sent.repartition(parts, "at").join(there, "at").select("q_ids", "q_dims", "q_data", "ids", "dims", "data")
+    spark = vectors.sparkSession
+    with storage.Scratch(spark) as scratch:
+        usable = scratch.keep(sound.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v"), "asks").withColumn("row", F.monotonically_increasing_id()), "vectors")
+        n, asked = usable.agg(F.count("*"), F.count_if("asks")).first()
+        there, across = _blocks(usable.select("row", "vec_id", "v"), rows_a_block, n, 1)
+        asks, down = _blocks(usable.filter("asks").select("row", "vec_id", "v"), queries_a_block, asked, 2)
+        across, down = -(-across // tile), -(-down // tile)
+        # A block of queries goes to every tile of its row of the grid, one of candidates to every tile of its column.
+        row, column = F.floor(F.col("block") / tile), F.floor(F.col("block") / tile)
+        every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("other")
+        fields = ["rows", "ids", "dims", "data"]
+        sent = asks.select("block", every(across), *fields).select((row * across + F.col("other")).alias("tile"), F.lit(0).alias("side"), *fields)
+        sent = sent.union(there.select("block", every(down), *fields).select((F.col("other") * across + column).alias("tile"), F.lit(1).alias("side"), *fields))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, Tile(k)
+            for batch in batches:
+                for number, side, rows, ids, dims, data in zip(*(x.to_pylist() for x in batch.columns)):
+                    if number != at:
+                        if held.rows:
+                            yield held.results()
+                        at, held = number, Tile(k)
+                    block = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, dims)
+                    (held.meet if side else held.ask)(*block)
+            if held.rows:
+                yield held.results()
+
+        parts = max(1, min(across * down, MOST_PARTITIONS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        found = sent.repartition(parts, "tile").sortWithinPartitions("tile", "side").mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
+        order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+        top = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return storage.materialise(top, "top")

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -501,9 +502,49 @@ def test_topk_equals_a_plain_search(spark):
     assert len(few) == 4
 
 
+def test_topk_with_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 0.3, (90, 8))
+    ids = [i if i < 70 else (20 if i < 75 else 33 if i < 80 else i) for i in range(90)]
+    rows = [(i, [float(v) for v in r]) for i, r in zip(ids, x)]
+    table = spark.createDataFrame([*rows, rows[40], rows[40]], "vec_id long, embedding array<double>")
+    got = topk.search(table, F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20, rows_a_block=8, queries_a_block=2, tile=2).toPandas()
+    all_ids, v = [*ids, 40, 40], np.floor(64 * np.vstack([x, x[40], x[40]])).astype(int)
+    want = []
+    for q, name in enumerate(all_ids):
+        if name % 20 == 0:
+            top = sorted((-int(v[q] @ v[c]), all_ids[c]) for c in range(len(all_ids)) if c != q)[:20]
+            want += [(name, r + 1, c, -s) for r, (s, c) in enumerate(top)]
+    assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == sorted(want)
+    assert topk.search(table.filter("false"), F.lit(True)).count() == 0 and topk.search(table, F.lit(False)).count() == 0
+
+
 # Awkward tables
 
 
+def test_very_many_matches_and_lines_in_one_text(spark, docs):
+    """100,000 matches, and 100,000 lines that ten documents share: seconds, as work grows with the length."""
+    hexes = " ".join(f"{i:016x}" for i in range(100_000))
+    began = time.perf_counter()
+    got = secrets.scan(docs([(1, hexes), (2, "token = 'Ab3dEf6hIj9kLm2n'")]), F.col("source"), F.col("lang")).select("doc_id", "n_hex", "base_sha256").collect()
+    said = ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(100_000))
+    assert {r.doc_id: (r.n_hex, r.base_sha256) for r in got}[1] == (100_000, hashlib.sha256(said.encode()).hexdigest())
+    assert time.perf_counter() - began < 60
+    lines = [f"Line {i}" for i in range(100_000)]
+    rows = [(i, "\n".join([f"own {i}", *lines, *lines[:10], ""])) for i in range(10)]
+    began = time.perf_counter()
+    got = line_runs.drop_frequent(docs(rows)).select("doc_id", "text", "line_runs_n_dropped").collect()
+    assert {r.doc_id: (r.text, r.line_runs_n_dropped) for r in got} == {i: (f"own {i}\n", 100_010) for i in range(10)}
+    assert time.perf_counter() - began < 90
+
+
+def test_runs_are_dropped_when_a_batch_fails(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_runs.Runs, "frequent", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_runs.drop_frequent(docs([(i, "x") for i in range(12)]))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("siglab_runs")]
+
+
 @pytest.mark.parametrize("name", ["fingerprint", "packing", "toxicity", "mixing", "sharding", "quality", "near", "near_fingerprint", "dedup", "secrets", "lines"])
 @pytest.mark.parametrize("empty", [False, True])
 def test_awkward_tables(spark, awkward, name, empty):
