@@ -2,8 +2,9 @@
 
 Rows are known by a row number, never by ``doc_id``, so texts that share an id stay apart. Texts with the same
 elements (shingles, or with ``weighted`` shingles and their occurrences) are one node from the start, however many
-they are. Each bucket compares all its nodes with one leader, its least, which a partial aggregate finds whatever
-the bucket's size. Buckets that are then one class are done. The nodes of the others are keyed anew, by the rarest
+they are. Each bucket has one leader, its least node, which a partial aggregate finds whatever the bucket's size. A
+node is compared with the least of its leaders, then, in buckets that still have several classes, with the others.
+Buckets that are then one class are done. The nodes of the others are keyed anew, by the rarest
 fifth of their elements (prefix filtering), which is exact: nodes that are alike enough share such a key, while
 nodes that share only what many have do not.
 There leaders of more and more lots meet their buckets, and leave them, until every two nodes of a bucket that
@@ -238,6 +239,18 @@ def _several(entry: DataFrame, classes: DataFrame, scratch: storage.Scratch) ->
     return None
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, coordinates: int, threshold: float, scratch: storage.Scratch) -> DataFrame:
+    """Those of the pairs (a, b) that are alike enough: by length and sketch first, then by their elements."""
+    wide = range(-(-coordinates // 16))
+    brief = lambda node, size, bit: sets.select(F.col("node").alias(node), F.col("size").alias(size), *(F.get("bits", k).alias(f"{bit}{k}") for k in wide))
+    alike = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0)) <= differing(coordinates, threshold)
+    both = pairs.join(brief("b", "n", "b"), "b").join(brief("a", "m", "c"), "a").filter(alike & (F.least("m", "n") >= F.lit(threshold - 1e-9) * F.greatest("m", "n")))
+    likely = scratch.keep(both.select("a", "b"), "pairs")
+    found = scratch.keep(verified(likely, sets, threshold), "links")
+    scratch.drop(likely)
+    return found
+
+
 def _settle(left: DataFrame, classes: DataFrame, links: DataFrame, coordinates: int, threshold: float, scratch: storage.Scratch) -> DataFrame:
     """Classes once all pairs of the sets ``left`` that could be linked have been compared by prefix buckets."""
     most, wide = differing(coordinates, threshold), range(-(-coordinates // 16))
@@ -291,21 +304,25 @@ def near_classes(docs: DataFrame, describe: Describe, coordinates: int, threshol
             scratch.drop(told)
             sets = scratch.keep(hashes_again(docs, slim, width, weighted).join(slim.select("node", "bits"), "node"), "sets")
             scratch.drop(slim)
-        wide = range(-(-coordinates // 16))
-        brief = lambda node, size, bit: sets.select(F.col("node").alias(node), F.col("size").alias(size), *(F.get("bits", k).alias(f"{bit}{k}") for k in wide))
-        pairs = entry.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(brief("b", "n", "b"), "b").join(brief("a", "m", "c"), "a")
-        alike = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0)) <= differing(coordinates, threshold)
-        likely = scratch.keep(pairs.filter(alike & (F.least("m", "n") >= F.lit(threshold - 1e-9) * F.greatest("m", "n"))).select("a", "b"), "pairs")
-        links = scratch.keep(verified(likely, sets, threshold), "links")
-        scratch.drop(likely)
+        # First each node meets one leader, the least of its buckets'; then the leaders of buckets that still have several classes.
+        own = entry.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
+        links = _linked(own, sets, coordinates, threshold, scratch)
         classes = connected(links, scratch)
-        rest = _several(entry.select("node", "key"), classes, scratch)
+        rest = _several(entry, classes, scratch)
         scratch.drop(entry)
+        if rest is not None:
+            led = rest.filter("node = leader").select("key", F.col("class_id").alias("led"))
+            met = rest.filter("node <> leader").join(led, "key").filter("class_id <> led").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+            found = _linked(met, sets, coordinates, threshold, scratch)
+            if not found.isEmpty():
+                links, old, was = links.union(found), classes, rest
+                classes = connected(links, scratch)
+                rest = _several(was, classes, scratch)
+                scratch.drop(old, was)
         if rest is not None:
             left = scratch.keep(sets.join(rest.select("node").distinct(), "node", "left_semi"), "unsettled-sets")
             scratch.drop(rest, sets)
             classes = _settle(left, classes, links, coordinates, threshold, scratch)
-        scratch.drop(sets)
         place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
         own = member.join(classes.select("node", "class_id"), "node", "left").select("doc_id", "text_key", F.coalesce("class_id", "node").alias("class"))
         own = scratch.keep(own, "own-classes")
