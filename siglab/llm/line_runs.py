@@ -109,17 +109,18 @@ def drop_frequent(docs: DataFrame, documents: int = DOCUMENTS, least_chars: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     named = docs.withColumn("text", text).withColumn("line_runs_key", F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("n")))
     lines = F.transform(F.split("text", "\n", -1), lambda x: key_hash(line_key(x), least_chars))
-    keyed = storage.materialise(storage.spread(named.select("line_runs_key", "text")).select("line_runs_key", lines.alias("lines"), F.pmod(F.xxhash64("line_runs_key"), F.lit(batches)).alias("batch")), "line-keys")
-    runs = Runs(spark, fanout)
-    try:
-        for k in range(batches):
-            with storage.shuffles_let_go(spark):
-                runs.add(keyed.filter(F.col("batch") == k).select(F.explode(_distinct("lines")).alias("x")).select("x.a", "x.b"), documents)
-        frequent = storage.materialise(runs.frequent(documents), "frequent-lines")
-    finally:
-        runs.close()
-    each = keyed.select("line_runs_key", F.posexplode("lines").alias("at", "x")).filter("x is not null").select("line_runs_key", "at", "x.a", "x.b")
-    gone = each.join(frequent, ["a", "b"]).groupBy("line_runs_key").agg(F.collect_set("at").alias("line_runs_gone"))
+    with storage.Scratch(spark) as scratch:
+        keyed = scratch.keep(storage.spread(named.select("line_runs_key", "text")).select("line_runs_key", lines.alias("lines"), F.pmod(F.xxhash64("line_runs_key"), F.lit(batches)).alias("batch")), "line-keys")
+        runs = Runs(spark, fanout)
+        try:
+            for k in range(batches):
+                with storage.shuffles_let_go(spark):
+                    runs.add(keyed.filter(F.col("batch") == k).select(F.explode(_distinct("lines")).alias("x")).select("x.a", "x.b"), documents)
+            frequent = scratch.keep(runs.frequent(documents), "frequent-lines")
+        finally:
+            runs.close()
+        each = keyed.select("line_runs_key", F.posexplode("lines").alias("at", "x")).filter("x is not null").select("line_runs_key", "at", "x.a", "x.b")
+        gone = storage.materialise(each.join(frequent, ["a", "b"]).groupBy("line_runs_key").agg(F.collect_set("at").alias("line_runs_gone")), "lines-that-go")
     split = F.split("text", "\n", -1)
     kept = F.when(F.col("line_runs_gone").isNull(), F.col("text")).otherwise(_once(split, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "line_runs_gone"), lambda i: F.get(x, i)), "\n")))
     both = named.join(gone.withColumnRenamed("line_runs_key", "line_runs_same"), F.col("line_runs_key").eqNullSafe(F.col("line_runs_same")), "left")

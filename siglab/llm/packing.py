@@ -4,7 +4,8 @@ A packer holds at most ``open_bins`` bins that still take pieces, as one integer
 open bin has ``f`` places free. A piece goes to the bin with the least sufficient space (the lowest set bit from
 its length up); where none has room and every bin is taken, the fullest bin (the lowest set bit of all) closes
 first. Each task packs what it reads, so no token crosses the network; only the bins still open at a task's end,
-at most ``open_bins`` a task, are then packed into one another, group by group.
+at most ``open_bins`` a task, are then packed into one another, group by group: ``tasks`` tasks are a group, so one
+task packs ``open_bins * tasks`` leftover bins at most, whatever the size of the table.
 
 Nulls, empty texts, ties: a null text counts as empty and gives the end token alone. Equal rows are packed one by
 one; pieces of rows with equal or null ``doc_id`` stay apart, as each row is cut and placed by itself. Bins with
@@ -31,8 +32,9 @@ END = 1
 OPEN_BINS = 256
 #: Leftover bins of so many tasks are packed together.
 TASKS = 32
-#: Entries that a worker's memory of tokenized words may hold before it starts anew.
-WORDS = 900_000
+#: Runs that a worker's memory of tokenized words may hold before it starts anew, and the longest that it keeps: some
+#: hundred bytes a run at most, whatever the texts are made of.
+WORDS, LONGEST = 600_000, 48
 
 
 class Packer:
@@ -79,8 +81,9 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|*%$&#]*)")
 class Words:
     """The token ids of texts, as bytes, by a tokenizer whose pieces never cross a space or a line feed.
 
-    Every run between spaces and line feeds is tokenized once and remembered. A run of plain letters and signs is
-    the ids of its letters, then of its signs; any other run goes through the tokenizer as it stands.
+    Every run between spaces and line feeds is tokenized once and remembered, but for those of more than ``LONGEST``
+    code points, which are forgotten after their texts. A run of plain letters and signs is the ids of its letters,
+    then of its signs; any other run goes through the tokenizer as it stands.
     """
 
     def __init__(self, path: str, limit: int = WORDS):
@@ -101,7 +104,7 @@ class Words:
                 plain[run] = (m[1].lower(), m[2])
             else:
                 other.append(run)
-        fresh = [x for x in {y for pair in plain.values() for y in pair} if x not in self.parts]
+        self.fresh = fresh = [x for x in {y for pair in plain.values() for y in pair} if x not in self.parts]
         for first in range(0, len(fresh), 4096):  # each such part is one piece, so it ends with the one token that ends a word
             part = fresh[first : first + 4096]
             ids = self._encode([" ".join(part)])[0]
@@ -125,7 +128,12 @@ class Words:
             new = set(itertools.chain.from_iterable(split))
         self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        out = [b"".join(map(get, x)) for x in split]
+        for run in [x for x in new if len(x) > LONGEST]:
+            del self.known[run]
+        for part in [x for x in self.fresh if len(x) > LONGEST]:
+            del self.parts[part]
+        return out
 
 
 _TOKENIZERS: dict[str, Words] = {}

@@ -1,13 +1,16 @@
 """Quality scores: random Fourier features over document statistics, ridge by partition sums, isotonic calibration.
 
 Each whole text is reduced to a few statistics (:data:`STATISTICS`). Random Fourier features approximate a
-Gaussian kernel over the standardised statistics; the normal equations of ridge regression are summed within
-each partition, then over groups of partitions, so the driver gets a bounded number of small matrices. A second,
-disjoint part of the labelled rows calibrates: their ridge scores are counted in fixed bins, and
-pool-adjacent-violators over the bins, joined by straight lines, makes a score a probability.
+Gaussian kernel over the standardised statistics, to which the statistics themselves are added as a linear term;
+the normal equations of ridge regression are summed within each partition, then over partitions as a tree, so the
+driver gets a bounded number of small matrices. The kernel's width is chosen among :data:`SIGMAS` within the labelled
+rows that are given: by the squared error on an eighth of them that the trial fits leave out (it follows from their
+normal equations alone), which then joins the fit. Another, disjoint part of the labelled rows calibrates: their
+ridge scores are counted in fixed bins, and pool-adjacent-violators over the bins, joined by straight lines, makes a
+score a probability.
 
 The statistics hold nothing but the text: labels, languages, sources and ids enter no score. All labelled rows
-take part in the fit.
+take part.
 
 Nulls, empty texts, ties: a null text counts as empty; an empty text has all statistics 0 and is scored like any
 other. Labels that are null or of unknown documents are left out; several labels of a document all count. Equal
@@ -18,7 +21,7 @@ gives an empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,13 +32,14 @@ from pyspark.sql import functions as F
 from siglab.llm import shingles, storage
 
 FEATURES = 256
-SIGMA = 2.0
+#: Widths of the kernel that are tried, in units of half the root of the number of statistics.
+SIGMAS = (1.0, 2.0, 4.0)
 RIDGE = 1.0
 BINS = 400
-#: One labelled row in so many calibrates instead of fitting.
-CALIBRATE = 4
-#: Sums of partitions are added up in so many groups.
-GROUPS = 16
+#: Of so many parts of the labelled rows, two calibrate and one chooses the width.
+PARTS = 8
+#: Sums that one task of the tree adds up.
+FAN_IN = 16
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "word_spread", "distinct_words", "letters", "digits", "signs", "stops", "spaces",
@@ -89,7 +93,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         mean = np.bincount(of, length, n) / words.clip(1)
         spread = np.sqrt((np.bincount(of, length**2, n) / words.clip(1) - mean**2).clip(0))
         hashed = shingles.word_hashes(data, starts, stops_at)
-        different = np.bincount(np.unique(of.astype(np.uint64) << np.uint64(48) | hashed >> np.uint64(16)).astype(np.uint64) >> np.uint64(48), minlength=n)
+        different = np.diff(shingles.distinct(hashed, begin)[1])
         odd = np.concatenate([[0], np.cumsum(((_KIND & 4) > 0)[data])])
         odd_words = np.bincount(of, odd[stops_at] > odd[starts], n)
         joined, where = shingles.shingle_hashes(data, at, 3)
@@ -105,14 +109,14 @@ def statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
-@dataclass
+@dataclass(eq=False)
 class Model:
     """Standardisation, random features, ridge weights and the calibration's points."""
 
     mean: np.ndarray
     scale: np.ndarray
     seed: int = 5
-    sigma: float = SIGMA
+    sigma: float = 2.0
     features: int = FEATURES
     weights: np.ndarray | None = None
     x: np.ndarray | None = None
@@ -151,49 +155,76 @@ def _rows(batch: pa.RecordBatch, index: int) -> np.ndarray:
     return batch.column(index).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
 
 
-def _summed(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The normal equations of (stats, y) rows: summed by partition, then by group, then here."""
-    wide = model.features + len(model.mean) + 1
+def _summed(rows: DataFrame, models: list[Model]) -> dict[tuple[int, int], np.ndarray]:
+    """The normal equations of (stats, y, part) rows for each model and part: z'z, z'y as a last column, y'y below it.
+    Summed by partition, then over ``FAN_IN`` partitions at a time, then here."""
+    wide = models[0].features + len(models[0].mean) + 1
+
+    def told(total: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.int32()), pa.array([k for _, k in total], pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["model", "part", "total"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((wide, wide + 1))
+        total: dict = {}
         for batch in batches:
-            if len(batch):
-                z = model.expand(_rows(batch, 0))
-                total[:, :wide] += z.T @ z
-                total[:, wide] += z.T @ batch.column(1).to_numpy(zero_copy_only=False)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+            stats, y, of = _rows(batch, 0) if len(batch) else np.zeros((0, 0)), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            for p in np.unique(of):
+                for k, model in enumerate(models):
+                    z, own = model.expand(stats[of == p]), y[of == p]
+                    at = total.setdefault((k, int(p)), np.zeros((wide + 1, wide + 1)))
+                    at[:wide, :wide] += z.T @ z
+                    at[:wide, wide] += z.T @ own
+                    at[wide, wide] += own @ own
+        yield told(total)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((wide, wide + 1))
+        total: dict = {}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x).reshape(wide, wide + 1)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+            for k, p, x in zip(*(c.to_pylist() for c in batch.columns)):
+                at = total.setdefault((k, p), np.zeros((wide + 1, wide + 1)))
+                at += np.frombuffer(x).reshape(wide + 1, wide + 1)
+        yield told(total)
+
+    fields = "model int, part int, total binary"
+    sums, n = rows.mapInArrow(part, fields), rows.rdd.getNumPartitions()
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        sums = sums.repartition(n).mapInArrow(group, fields)
+    out: dict = {}
+    for k, p, x in sums.toLocalIterator():
+        out[k, p] = out.get((k, p), 0) + np.frombuffer(x).reshape(wide + 1, wide + 1)
+    return out
+
+
+def _solved(total: np.ndarray, ridge: float) -> np.ndarray:
+    z = total[:-1, :-1]
+    return np.linalg.solve(z + ridge * np.eye(len(z)), total[:-1, -1])
+
 
-    parts = rows.mapInArrow(part, "total binary").repartition(GROUPS).mapInArrow(group, "total binary")
-    got = [np.frombuffer(x[0]).reshape(wide, wide + 1) for x in parts.collect()]
-    whole = sum(got, np.zeros((wide, wide + 1)))
-    return whole[:, :wide], whole[:, wide]
+def _error(total: np.ndarray, weights: np.ndarray) -> float:
+    """The summed squared error of weights on the rows of a sum."""
+    return float(total[-1, -1] - 2 * weights @ total[:-1, -1] + weights @ total[:-1, :-1] @ weights)
 
 
-def fit(labelled: DataFrame, seed: int = 5, ridge: float = RIDGE) -> Model:
+def fit(labelled: DataFrame, seed: int = 5, ridge: float = RIDGE, sigmas: Sequence[float] = SIGMAS) -> Model:
     """A model from rows (doc_id, stats, y)."""
-    calibrates = F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE)) == 0
+    of = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))
+    calibrates = of < 2
     moments = [f(F.get("stats", i)) for i in range(len(STATISTICS)) for f in (F.avg, F.stddev_pop)]
     first = labelled.agg(F.count("*"), F.avg("y"), *moments).first()
     if not first[0]:
         return Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)))
     flat = np.array(first[2:], float)
-    model = Model(flat[0::2], np.where(flat[1::2] > 1e-9, flat[1::2], 1.0), seed, base=float(first[1]))
+    tried = [Model(flat[0::2], np.where(flat[1::2] > 1e-9, flat[1::2], 1.0), seed, sigma, base=float(first[1])) for sigma in sigmas]
+    model = tried[0]
     if first[1] in (0.0, 1.0):
         return model
-    z, zy = _summed(labelled.filter(~calibrates).select("stats", "y"), model)
-    if not z.any():
+    sums = _summed(labelled.filter(~calibrates).select("stats", "y", (of == 2).cast("int").alias("part")), tried)
+    if not sums:
         return model
-    model.weights = np.linalg.solve(z + ridge * np.eye(len(z)), zy)
+    if all((k, p) in sums for k in range(len(tried)) for p in (0, 1)):
+        model = tried[int(np.argmin([_error(sums[k, 1], _solved(sums[k, 0], ridge)) for k in range(len(tried))]))]
+    at = tried.index(model)
+    model.weights = _solved(sum(x for (k, _), x in sums.items() if k == at), ridge)
     frozen = model
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,13 @@
 Categories are predicted in a fixed order: each linear model sees the words of a text and the probabilities of
 the categories before it, and was trained with out-of-fold predictions of those, so that it meets at training
 what it will meet later. The last category is the label itself; the ones before it are drawn from the labelled
-texts by their most telling words (see :func:`categories`).
+texts by their most telling words (see :func:`categories`). Folds are made of whole groups of equal texts, and for
+each fold everything that looks at labels is learnt anew from the other folds: which words are used, which of them
+mark toxicity, what the earlier categories are, and the weights.
 
-Training is on a bounded sample of the labelled rows (``SAMPLE``, those of least hash of doc_id); scoring reads
-every whole text in blocks, in numpy, and needs no shuffle.
+Training is on a bounded sample of the labelled rows (``SAMPLE``, those of least hash of doc_id). Spark hashes and
+counts their words; the driver gets counts of at most ``PLACES`` hashed words, and of each text the words that are
+used. Scoring reads every whole text in blocks, in numpy, and needs no shuffle.
 
 Nulls, empty texts, ties: a null text counts as empty and gets the probabilities of a text without known words.
 Labels that are null or of unknown documents are left out; a document with several labels is toxic if any says
@@ -16,13 +19,11 @@ share of toxic labels (0 without labels). An empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,46 +138,50 @@ def categories(at: np.ndarray, marks: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([y * (n >= 3), y * (n >= 2), y], axis=1)
 
 
-def train(texts: list[str] | pa.Array, y: np.ndarray, seed: int = 3) -> Chain:
-    """Fits the chain on labelled texts, in two passes of blocks: one counts the words, one keeps those that are used."""
-    y = y.astype(float)
-    base = float(y.mean()) if len(y) else 0.0
+def _outside(x: np.ndarray, f: int) -> np.ndarray:
+    """Sums over all folds but ``f`` (-1: over all); a column for each fold."""
+    return x.sum(axis=1) - (x[:, f] if f >= 0 else 0)
+
+
+def chosen_words(place: np.ndarray, held: np.ndarray, toxic: np.ndarray, rows: np.ndarray, bad: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that a model without fold ``f`` uses, and whether they mark toxicity. ``held``, ``toxic``: of each place
+    and fold, how many texts and toxic texts hold it; ``rows``, ``bad``: how many there are in each fold."""
+    h, t = _outside(held, f), _outside(toxic, f)
+    best = telling(h, t, _outside(rows[None], f)[0], _outside(bad[None], f)[0], LEAST, USED)
+    return place[best], (t[best] >= 3) & (t[best] >= 0.9 * h[best])
+
+
+def train(pairs: tuple[np.ndarray, np.ndarray], y: np.ndarray, fold: np.ndarray, words: Sequence[tuple[np.ndarray, np.ndarray]]) -> Chain:
+    """Fits the chain. ``pairs``: texts and the distinct places that they hold; ``words``: :func:`chosen_words` of
+    each fold, then of all rows."""
+    y, n = y.astype(float), len(y)
+    base = float(y.mean()) if n else 0.0
     if not 0 < base < 1:
         return Chain(base=base)
-    column_of, n = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())), len(y)
-    held, toxic = np.zeros(PLACES), np.zeros(PLACES)
-    for first, own, at in places(column_of):
-        pairs = np.unique(own * PLACES + at)
-        place = pairs % PLACES
-        np.add.at(held, place, 1.0)
-        np.add.at(toxic, place, y[first + pairs // PLACES])
-    chosen = telling(held, toxic, n, y.sum(), LEAST, USED)
-    columns = np.full(PLACES, -1, np.int64)
-    columns[chosen] = np.arange(len(chosen))
-    wide, kept = max(len(chosen), 1), [np.zeros(0, np.int64)]
-    for first, own, at in places(column_of):
-        known = columns[at] >= 0
-        kept.append(np.unique((own[known] + first) * wide + columns[at[known]]))
-    pairs = np.concatenate(kept)
-    at, column = pairs // wide, pairs % wide
-    marking = (toxic[chosen] >= 3) & (toxic[chosen] >= 0.9 * held[chosen])
-    target = categories(at, marking[column], y)
-    fold = np.random.default_rng(seed).permutation(n) % FOLDS
+    seen = []  # for each fold, then for all rows: the pairs of text and feature, the number of features, the categories
+    for places_, marking in words:
+        columns = np.full(PLACES, -1, np.int64)
+        columns[places_] = np.arange(len(places_))
+        known = columns[pairs[1]] >= 0
+        at, column = pairs[0][known], columns[pairs[1][known]]
+        seen.append(((at, column), max(len(places_), 1), categories(at, np.append(marking, False)[column], y)))
     unseen, chain = np.zeros((n, len(NAMES))), Chain(columns=columns, base=base)
     for k in range(len(NAMES)):
         for f in range(FOLDS if k < len(NAMES) - 1 else 0):
-            inside = fold != f
-            row = np.cumsum(inside) - 1
-            use = inside[at]
+            inside, ((at, column), wide, target) = fold != f, seen[f]
+            if not inside.any():
+                continue
+            row, use = np.cumsum(inside) - 1, inside[at]
             w = fit((row[at[use]], column[use]), int(inside.sum()), wide, unseen[inside, :k], target[inside, k])
             z = np.bincount(at, w[:wide][column], n) + unseen[:, :k] @ w[wide:-1] + w[-1]
             unseen[~inside, k] = _logistic(z)[~inside]
+        (at, column), wide, target = seen[-1]
         chain.weights.append(fit((at, column), n, wide, unseen[:, :k], target[:, k]))
     return chain
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels of at most ``rows`` labelled documents, those of least hash of doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """text, toxic, fold of at most ``rows`` labelled documents, those of least hash of doc_id."""
     told = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     told = told.withColumn("u", F.shiftrightunsigned(F.xxhash64("doc_id"), 1))  # below 2^63, evenly
     n = told.count()
@@ -184,17 +189,52 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> tuple[pa.A
     near = told.filter(F.col("u") < (2**63 - 1) * min(n, 2 * rows + 100) // max(n, 1))
     drawn = near.orderBy("u", "doc_id").limit(rows).select("doc_id", "toxic")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = named.join(F.broadcast(drawn), "doc_id").select("text", "toxic").toArrow()  # ``rows`` pairs of numbers at most are broadcast
-    texts, y = got["text"].cast(pa.large_string()).combine_chunks(), got["toxic"].to_numpy()
-    order = np.lexsort((y, pc.utf8_length(texts).to_numpy(), [zlib.crc32(x.as_buffer()) for x in texts]))  # whatever the order of arrival
-    return texts.take(pa.array(order)), y[order]
+    got = named.join(F.broadcast(drawn), "doc_id")  # ``rows`` pairs of numbers at most are broadcast
+    return got.select("text", "toxic", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(FOLDS)).cast("int").alias("fold"))
+
+
+def learnt(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Chain:
+    """The chain of a bounded sample of the labelled documents."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [*places(batch.column(0)), (len(batch), None, None)]
+            for (first, owner, place), (last, *_) in zip(found, found[1:]):
+                pairs = np.unique(owner * PLACES + place)
+                begin = np.searchsorted(pairs // PLACES, np.arange(last - first + 1))
+                listed = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(pairs % PLACES, pa.int32()))
+                own = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), listed], ["toxic", "fold", "places"])
+
+    with storage.Scratch(docs.sparkSession) as scratch:
+        features = scratch.keep(storage.spread(sample(docs, labels, rows)).mapInArrow(hashed, "toxic int, fold int, places array<int>"), "features")
+        each = features.select("toxic", "fold", F.explode("places").alias("place"))
+        by_fold = [f(F.when(F.col("fold") == k, x)) for k in range(FOLDS) for f, x in ((F.count, F.lit(1)), (F.sum, F.col("toxic")))]
+        counted = each.groupBy("place").agg(F.count("*").alias("n"), *(x.alias(f"c{i}") for i, x in enumerate(by_fold))).filter(F.col("n") >= LEAST).drop("n").fillna(0).toArrow()
+        order = np.argsort(counted["place"].to_numpy())
+        place = counted["place"].to_numpy()[order]
+        numbers = np.stack([counted[f"c{i}"].to_numpy() for i in range(2 * FOLDS)], axis=1)[order].astype(float)
+        size = {r.fold: (r.n, r.bad) for r in features.groupBy("fold").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).collect()}
+        whole, bad = (np.array([size.get(f, (0, 0))[i] for f in range(FOLDS)], float) for i in (0, 1))
+        words = [chosen_words(place, numbers[:, 0::2], numbers[:, 1::2], whole, bad, f) for f in (*range(FOLDS), -1)]
+        used = np.unique(np.concatenate([x for x, _ in words]))
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                listed = [x[np.isin(x, used)].astype("<i4").tobytes() for x in (y.values.to_numpy() for y in batch.column(2))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(listed, pa.binary())], ["toxic", "fold", "places"])
+
+        got = features.mapInArrow(kept, "toxic int, fold int, places binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["places"], r["toxic"], r["fold"]))  # whatever the order of arrival
+    held = [np.frombuffer(r["places"], "<i4") for r in got]
+    pairs = np.repeat(np.arange(len(held)), [len(x) for x in held]), np.concatenate([*held, np.zeros(0, np.int32)]).astype(np.int64)
+    return train(pairs, np.array([r["toxic"] for r in got], np.int64), np.array([r["fold"] for r in got], np.int64), words)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = SAMPLE, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row, a probability p_<category> for each category, and toxic (0/1: the last one
     is ``threshold`` or more). Rows are scored where they are read; nothing is shuffled."""
-    texts, y = sample(docs, labels, rows)
-    chain = train(texts, y)
+    chain = learnt(docs, labels, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
