@@ -240,7 +240,7 @@ def fit(labelled: DataFrame, seed: int = 5, ridge: float = RIDGE, sigmas: Sequen
     x, y, w = (np.array([r[k] for r in bins], float) for k in (1, 2, 3))
     level = isotonic((y * w + model.base * 0.5) / (w + 0.5), w)
     # Distinct levels at their mean scores, so that scores between them follow a straight line.
-    starts = np.flatnonzero(np.concatenate([[True], level[1:] > level[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], level[1:] > level[:-1] + 1e-12]))  # what differs by rounding alone is one level
     mass = np.add.reduceat(w, starts)
     model.x, model.y = np.add.reduceat(x * w, starts) / mass, level[starts]
     low, high = x.min() - 0.5, x.max() + 0.5

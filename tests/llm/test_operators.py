@@ -174,6 +174,75 @@ def test_toxicity_finds_held_out_words(spark, docs):
     assert (none.p_toxic == 0).all()
 
 
+def plain_chain(rows, folds):
+    """The chain over sets of words, with weights found by Newton's method."""
+    n, y, fold = len(rows), np.array([t for _, t in rows], float), np.array(folds)
+    bags = [set(toxicity_places(text)) for text, _ in rows]
+
+    def learn(inside):
+        held, bad = Counter(), Counter()
+        for i in np.flatnonzero(inside):
+            held.update(bags[i])
+            if y[i]:
+                bad.update(bags[i])
+        some = sorted(p for p in held if held[p] >= toxicity.LEAST and sum(p in b for b in bags) >= toxicity.LEAST)
+        total, ill = inside.sum(), y[inside].sum()
+
+        def score(p):
+            a, b, c, d = bad[p] + 0.5, held[p] - bad[p] + 0.5, ill - bad[p] + 0.5, total - ill - held[p] + bad[p] + 0.5
+            return -abs((math.log(a) - math.log(b) - math.log(c) + math.log(d)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+
+        used = sorted(some, key=score)[: toxicity.USED]
+        marks = {p for p in used if bad[p] >= 3 and bad[p] >= 0.9 * held[p]}
+        x = np.array([[p in b for p in used] for b in bags], float)
+        count = np.array([len(marks & b) for b in bags])
+        return x, np.stack([y * (count >= 3), y * (count >= 2), y], axis=1)
+
+    def newton(x, target):
+        x, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+        pull = np.full(len(w), toxicity.RIDGE)
+        pull[-1] = 0
+        loss = lambda w: np.logaddexp(0, x @ w).sum() - target @ (x @ w) + (pull * w * w).sum() / 2
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ w))
+            step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(pull + 1e-9), x.T @ (p - target) + pull * w)
+            size = 1.0
+            while loss(w - size * step) > loss(w) and size > 1e-6:
+                size /= 2
+            w = w - size * step
+        return w
+
+    out, unseen = np.zeros((n, 3)), np.zeros((n, 3))
+    learnt = {f: learn(fold != f) for f in range(toxicity.FOLDS)}
+    whole = learn(np.ones(n, bool))
+    for k in range(3):
+        for f in range(toxicity.FOLDS if k < 2 else 0):
+            x, target = learnt[f]
+            x, inside = np.hstack([x, unseen[:, :k]]), fold != f
+            w = newton(x[inside], target[inside, k])
+            unseen[~inside, k] = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))[~inside]
+        w = newton(np.hstack([whole[0], unseen[:, :k]]), whole[1][:, k])
+        out[:, k] = 1 / (1 + np.exp(-(np.hstack([whole[0], out[:, :k]]) @ w[:-1] + w[-1])))
+    return out
+
+
+def toxicity_places(text):
+    return [int(x) for _, _, at in toxicity.places(pa.array([text])) for x in at]
+
+
+def test_chain_equals_a_plain_chain(spark, docs):
+    bad, rng, rows = ["vile", "rotten", "nasty", "odious"], random.Random(12), []
+    for i in range(120):
+        w = [f"k{rng.randrange(12)}" for _ in range(8)] + (rng.choices(bad, k=rng.randint(1, 5)) if i % 3 == 0 else [rng.choice(bad)] if i % 10 == 1 else [])
+        rng.shuffle(w)
+        rows.append((f"{' '.join(w)}", int(i % 3 == 0)))
+    table = docs([(i, text) for i, (text, _) in enumerate(rows)])
+    told = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    folds = [r[0] for r in table.orderBy("doc_id").select(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(toxicity.FOLDS))).collect()]
+    got = toxicity.classify(table, told).toPandas().sort_values("doc_id")[["p_severe", "p_abusive", "p_toxic"]].to_numpy()
+    assert np.abs(got - plain_chain(rows, folds)).max() < 0.02
+
+
 # Mixing (4)
 
 
@@ -304,6 +373,52 @@ def test_quality_separates_junk(spark, docs):
     assert (quality.score(docs(rows[:4]), told.filter("false")).toPandas().score == 0.5).all()
 
 
+def test_quality_equals_a_plain_fit(spark, docs):
+    rng = random.Random(6)
+    rows = [(i, words(i, rng.randint(5, 90), 40 + i % 300) + (". " if i % 2 else " | # ") * rng.randint(0, 9)) for i in range(500)]
+    y = {i: int((i % 2) != (rng.random() < 0.1)) for i in range(400)}
+    table, told = docs(rows), spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    got = quality.score(table, told).toPandas().set_index("doc_id").score
+    x = quality.statistics(pa.array([t for _, t in rows]))
+    part = np.array([r[0] for r in told.orderBy("doc_id").select(F.pmod(F.xxhash64("doc_id"), F.lit(8))).collect()])
+    target, mine = np.array([y[i] for i in range(400)], float), x[:400]
+    mean, scale = mine.mean(axis=0), mine.std(axis=0)
+    scale[scale <= 1e-9] = 1
+
+    def features(sigma, x):
+        r = np.random.default_rng(5)
+        w = r.standard_normal((x.shape[1], 256)) * 2 / (sigma * math.sqrt(x.shape[1]))
+        b = r.uniform(0, 2 * math.pi, 256)
+        z = ((x - mean) / scale).clip(-6, 6)
+        return np.hstack([np.cos(z @ w + b) / math.sqrt(128), z, np.ones((len(z), 1))])
+
+    ridge = lambda z, t: np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ t)
+    error = {s: ((features(s, mine[part == 2]) @ ridge(features(s, mine[part > 2]), target[part > 2]) - target[part == 2]) ** 2).sum() for s in quality.SIGMAS}
+    sigma = min(error, key=error.get)
+    w = ridge(features(sigma, mine[part >= 2]), target[part >= 2])
+    raw, t = features(sigma, mine[part < 2]) @ w, target[part < 2]
+    bins = np.clip(np.floor((raw + 0.5) * 200), 0, 399)
+    each = sorted((raw[bins == b].mean(), t[bins == b].mean(), (bins == b).sum()) for b in np.unique(bins))
+    x0, y0, n0 = (np.array(v, float) for v in zip(*each))
+    value = (y0 * n0 + target.mean() * 0.5) / (n0 + 0.5)
+    # The isotonic fit by its max-min formula.
+    level = np.array([max(min(np.average(value[a : b + 1], weights=n0[a : b + 1]) for b in range(i, len(value))) for a in range(i + 1)) for i in range(len(value))])
+    knots = [np.isclose(level, v, atol=1e-12) for v in np.unique(level.round(12))]
+    kx, ky = np.array([np.average(x0[k], weights=n0[k]) for k in knots]), np.array([level[k][0] for k in knots])
+    kx, ky = np.concatenate([[x0[0] - 1.5], kx, [x0[-1] + 1.5]]), np.concatenate([[ky[0] / 2], ky, [(1 + ky[-1]) / 2]])
+    want = np.interp(features(sigma, x) @ w, kx, ky).clip(0, 1)
+    assert np.abs(got.loc[range(500)].to_numpy() - want).max() < 1e-6
+    assert got.nunique() > 100
+
+
+def test_long_runs_are_not_remembered():
+    w = packing.Words(queries.tokenizer_path())
+    texts = [f"a {'x' * 300} {'é9' * 400} b{i}" for i in range(4)]
+    first = w.encode(texts)
+    assert max(map(len, w.known)) <= packing.LONGEST and max(map(len, w.parts)) <= packing.LONGEST
+    assert w.encode(texts) == first and first[0] == np.array(w.tokenizer.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()
+
+
 # Near duplicates (7)
 
 
