@@ -1,7 +1,14 @@
 """A corpus pipeline: toxic documents go, frequent lines go, near copies go, sources are mixed, the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
-next stage's ``docs``; all but the last return the columns of ``documents``.
+next stage's ``docs``; all but the last return the columns of ``documents``. The result has a row for each piece of a
+document with its token ids, so a sequence is rebuilt from its own rows: those of one ``sequence_id``, by ``offset``.
+
+Nulls, empty texts, ties, in every stage: a null or empty text is a document without words. It isn't toxic unless the
+labels make most texts so; line removal keeps it, as an empty text; all such documents are one class of near copies,
+of which one stays; it is mixed like others, and packed as the end token alone. A null ``doc_id`` or ``source`` is a
+value like others. Equal rows are judged alike; near-dedup keeps one of them, and of texts that share an id each
+that is no near copy. An empty table gives an empty result. Columns beyond those of ``documents`` are left out.
 """
 
 from __future__ import annotations
@@ -38,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of all documents in sequences."""
-    return packing.pack(docs, queries.tokenizer_path())
+    """The tokens of all documents in sequences, with their ids (four bytes each, little-endian)."""
+    return packing.pack(docs, queries.tokenizer_path(), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -55,9 +62,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over ``documents``; what is between them is written to the shared folder."""
+    """The stages one after another over ``documents``. What is between two stages is written to the shared folder, and
+    deleted with the stage's own tables once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else storage.materialise(out, name)
-    return docs
+    with storage.Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            began = storage.mark()
+            out = scratch.keep(stage(spark, docs, sf_dir), name)
+            storage.release(began)
+            scratch.drop(docs)
+            docs = out
+        return storage.materialise(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
