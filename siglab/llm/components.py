@@ -32,7 +32,7 @@ from siglab.llm import shingles, storage
 FIRST, LEADERS = 256, 16
 #: Frequent hashes that the order of prefixes knows.
 LISTED = 50_000
-#: Parts that the rows of one class are dealt to where they look up their class.
+#: Parts that the rows of one class are dealt to where they look up its name.
 SALTS = 8
 
 Describe = Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -64,10 +64,11 @@ def connected(links: DataFrame, scratch: storage.Scratch) -> DataFrame:
     label = scratch.keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class_id")), "labels")
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("class_id").alias("m"))
-        step = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("class_id").alias("was"), F.least("class_id", "m").alias("class_id"), F.pmod("node", F.lit(SALTS)).alias("salt"))
-        # Where a class has a lower label itself, its nodes take that one: all that name it look it up, so they are salted.
-        up = label.filter("node <> class_id").select(F.col("node").alias("class_id"), F.col("class_id").alias("up"), _every_salt().alias("salt"))
-        new = scratch.keep(step.join(up, ["class_id", "salt"], "left").select("node", "was", F.coalesce("up", "class_id").alias("class_id")), "labels")
+        step = label.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("class_id").alias("was"), F.least("class_id", "m").alias("class_id"))
+        # Where a class has a lower label itself, its nodes take that one. Both sides have an exchange of their own, so
+        # adaptive execution can split the rows of a large class.
+        up = label.filter("node <> class_id").select(F.col("node").alias("class_id"), F.col("class_id").alias("up"))
+        new = scratch.keep(step.join(up, "class_id", "left").select("node", "was", F.coalesce("up", "class_id").alias("class_id")), "labels")
         scratch.drop(label)
         label, moved = new, not new.filter("was <> class_id").isEmpty()
         if not moved:
@@ -286,7 +287,7 @@ def near_classes(docs: DataFrame, describe: Describe, coordinates: int, threshol
     ``store`` the elements of texts that share a bucket are computed again from the texts, instead of kept for all.
     """
     spark = docs.sparkSession
-    with storage.Scratch(spark) as scratch:
+    with storage.Scratch(spark, broadcasts=False) as scratch:  # both sides of every join here grow with the table
         told = scratch.keep(describe_texts(docs, describe, width, weighted, store).withColumn("row", F.monotonically_increasing_id()), "described")
         first = scratch.keep(told.groupBy("set_a", "set_b").agg(F.min("row").alias("node")), "nodes")
         member = scratch.keep(told.select("doc_id", "text_key", "set_a", "set_b").join(first, ["set_a", "set_b"]).select("doc_id", "text_key", "node"), "members")

@@ -16,12 +16,13 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_NO_BROADCASTS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,17 +43,24 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the actions inside are deleted as each ends; the session's own setting comes back after."""
-    was = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for the actions inside; the session's own come back after."""
+    was = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if was is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, was)
+        for k, v in was.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def shuffles_let_go(spark: SparkSession) -> AbstractContextManager[None]:
+    """Shuffle files of the actions inside are deleted as each ends."""
+    return _set(spark, _CLEAN)
 
 
 def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -82,13 +90,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 class Scratch:
     """The intermediate tables of one run of an operator; a context manager that deletes what is left of them."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, broadcasts: bool = True):
+        """Without ``broadcasts``, its tables are made with the same joins at every size."""
+        self.spark, self.settings = spark, {} if broadcasts else _NO_BROADCASTS
         self.held: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as written and read back."""
-        back, path = _write(df, name)
+        with _set(self.spark, self.settings):
+            back, path = _write(df, name)
         self.held.append((back, path))
         return back
 

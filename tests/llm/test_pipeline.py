@@ -38,7 +38,7 @@ def test_stages_over_awkward_tables(spark, docs, tmp_path):
     """Nulls in every column, empty and very long texts, repeated rows, extra columns with clashing names, no rows."""
     import corpus_pipeline as p
 
-    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (4, 1, 0), (5, 1, 0), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     long = " ".join(f"w{i % 977}" for i in range(30_000))
     rows = [(1, None), (2, ""), (2, ""), (3, "a b c d e f"), (3, "a b c d e f"), (3, "other words under one id"), (None, "x y z"), (4, long), (5, " \n \n"), (7, None, None)]
     table = docs(rows)
