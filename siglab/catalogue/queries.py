@@ -393,8 +393,9 @@ def regime_summary(spark, sf_dir):
 @query(f"""{_sql_bars(_REVERSION)}, {T.segments()}, {T.kpis(_SEGMENT, 'seg', 'sk')}, {_RUNGS}, {T.kpis((*RUN, 'rung'), 'rungs', 'lk', net='laddered')},
 ends AS (SELECT series_id, config_id, arg_min(total_return, rung) AS low, arg_max(total_return, rung) AS high FROM lk GROUP BY ALL),
 pts AS (SELECT series_id, config_id, least(1, greatest(0, sharpe_ratio / 1.5)) * 40 AS a, least(1, greatest(0, 1 + max_drawdown / 0.5)) * 15 AS b, CASE WHEN low > 0 AND high > 0 THEN 20e0 WHEN low > 0 THEN 10e0 ELSE 0e0 END AS c
- FROM sk JOIN ends USING (series_id, config_id) WHERE segment = 'test')
-SELECT series_id, config_id, {T.r('a', 'oos_sharpe_points')}, 0e0 AS stability_points, {T.r('b', 'drawdown_points')}, {T.r('c', 'cost_points')}, {T.r('a + b + c', 'score')} FROM pts""")
+ FROM sk JOIN ends USING (series_id, config_id) WHERE segment = 'test'),
+held AS (WITH {_WALK} SELECT series_id, avg((test_sharpe > 0)::int) * 25 AS d FROM walk GROUP BY series_id)
+SELECT series_id, config_id, {T.r('a', 'oos_sharpe_points')}, {T.r('coalesce(d, 0e0)', 'stability_points')}, {T.r('b', 'drawdown_points')}, {T.r('c', 'cost_points')}, {T.r('a + b + c + coalesce(d, 0e0)', 'score')} FROM pts LEFT JOIN held USING (series_id)""")
 def robustness_points(spark, sf_dir):
     run = _bars(spark, sf_dir, _REVERSION)
     test = sweep.segment_kpis(run).filter("segment = 'test'")

@@ -1,72 +1,58 @@
 """Quantiles of all values so far, exactly, in one pass over each series.
 
-A window with ``percentile`` sorts every prefix anew. Here a task reads its series in time order and keeps the
-values so far in sorted pieces, so a row costs about the logarithm of the rows before it.
+A window with ``percentile`` sorts every prefix anew. Here a task reads its series in time order and keeps two heaps:
+the values up to the quantile's place and those beyond. A new value moves at most one from one heap to the other, so
+a row costs the logarithm of the rows before it.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
+from heapq import heappush, heappushpop
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Values that a sorted piece holds before it is cut in two.
-PIECE = 1024
 
+class Running:
+    """The q-quantile of the numbers added so far, between the two nearest by straight line."""
 
-class Sorted:
-    """A growing sorted collection in pieces."""
+    def __init__(self, q: float) -> None:
+        self.q, self.size = q, 0
+        self.low: list[float] = []  # negated, so the greatest comes first
+        self.high: list[float] = []
 
-    def __init__(self) -> None:
-        self.pieces: list[list[float]] = [[]]
-        self.tops: list[float] = []
-        self.size = 0
-
-    def add(self, x: float) -> None:
-        k = min(bisect_right(self.tops, x), len(self.pieces) - 1)
-        piece = self.pieces[k]
-        insort(piece, x)
+    def add(self, x: float) -> float:
         self.size += 1
-        if len(piece) > 2 * PIECE:
-            self.pieces[k : k + 1] = [piece[:PIECE], piece[PIECE:]]
-            self.tops = [p[-1] for p in self.pieces[:-1]]
-
-    def at(self, k: int) -> float:
-        for piece in self.pieces:
-            if k < len(piece):
-                return piece[k]
-            k -= len(piece)
-        raise IndexError(k)
-
-    def quantile(self, q: float) -> float:
-        """Between the two nearest values by straight line."""
-        place = (self.size - 1) * q
-        low = int(place)
-        a = self.at(low)
-        if place == low:
+        place = (self.size - 1) * self.q
+        whole = int(place)
+        if len(self.low) <= whole:  # the lower heap is to hold one more
+            heappush(self.low, -heappushpop(self.high, x))
+        else:
+            heappush(self.high, -heappushpop(self.low, -x))
+        a = -self.low[0]
+        if place == whole or not self.high or self.high[0] == a:
             return a
-        b = self.at(low + 1)
-        return a if a == b else (low + 1 - place) * a + (place - low) * b
+        return (whole + 1 - place) * a + (place - whole) * self.high[0]
 
 
-def with_quantile(df: DataFrame, value: str, q: float, least: int, name: str, keys: Sequence[str], by: str = "ts") -> DataFrame:
-    """``df`` with ``name``: the q-quantile of ``value`` over the rows so far, once there are ``least`` values."""
+def with_quantile(df: DataFrame, value: str, q: float, least: int, name: str, keys: Sequence[str], by: str = "ts", clustered: bool = False) -> DataFrame:
+    """``df`` with ``name``: the q-quantile of ``value`` over the rows so far, once there are ``least`` values. With
+    ``clustered`` the rows of a key already lie in one partition, as after a window over ``keys``."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
     at, column = [df.columns.index(k) for k in keys], df.columns.index(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = None, Sorted()
+        own, seen, last = None, Running(q), None
         for batch in batches:
             out: list[float | None] = []
             for key, x in zip(zip(*(batch.column(i).to_pylist() for i in at)), batch.column(column).to_pylist()):
                 if key != own:
-                    own, seen = key, Sorted()
+                    own, seen, last = key, Running(q), None
                 if x is not None:
-                    seen.add(x)
-                out.append(seen.quantile(q) if seen.size >= max(least, 1) else None)
+                    last = seen.add(x)
+                out.append(last if seen.size >= max(least, 1) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, by).mapInArrow(run, schema)
+    return (df if clustered else df.repartition(*keys)).sortWithinPartitions(*keys, by).mapInArrow(run, schema)

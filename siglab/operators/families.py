@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siglab import config
 from siglab.config import StrategyConfig
 from siglab.functions import frames, running
 
@@ -48,7 +49,8 @@ class Shared:
         if self.first:
             df = df.withColumns({name: make() for name, make in self.first.items()})
         for name, (value, least, q) in self.second.items():
-            df = running.with_quantile(df, value, q, least, name, self.keys)
+            # The volatility is a window over the keys, so each series lies in one partition already.
+            df = running.with_quantile(df, value, q, least, name, self.keys, clustered=True)
         return df
 
 
@@ -79,10 +81,17 @@ def composite(c: StrategyConfig, s: Shared) -> dict[str, Column]:
     return {**parts, "composite_score": score, "target": _flag(score >= 0.5)}
 
 
-#: Families by name; a new one is a function from configuration and shared columns to columns with ``target``.
+#: Families by name; :func:`register` adds one.
 FAMILIES: dict[str, Callable[[StrategyConfig, Shared], dict[str, Column]]] = {"trend": trend, "momentum": momentum, "mean_reversion": mean_reversion, "composite": composite}
 
 
+def register(name: str, make: Callable[[StrategyConfig, Shared], dict[str, Column]]) -> None:
+    """Makes a family known to configurations and backtests: ``make`` gives, of a configuration and the shared columns,
+    columns by name with ``target`` among them."""
+    FAMILIES[name] = make
+    config.KNOWN_FAMILIES.add(name)
+
+
 def signal(c: StrategyConfig, s: Shared) -> dict[str, Column]:
     """The family's columns, with the volatility filter (``risk_on``) applied to ``target``."""
     out = dict(FAMILIES[c.signal_family](c, s))

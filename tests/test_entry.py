@@ -15,7 +15,7 @@ def test_every_core_query_has_a_twin():
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["returns", "regime_labels", "validation_gates", "sig_volfilter", "drawdown_guard", "kpis_extended", "heatmap_pivot"])
+@pytest.mark.parametrize("name", ["returns", "regime_labels", "validation_gates", "sig_volfilter", "drawdown_guard", "kpis_extended", "heatmap_pivot", "robustness_points"])
 def test_queries_match_their_twins(spark, name):
     import duckdb
     import pandas as pd
@@ -30,24 +30,6 @@ def test_queries_match_their_twins(spark, name):
     pd.testing.assert_frame_equal(same(got), same(want), check_dtype=False)
 
 
-@pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
-def test_robustness_points_count_the_folds_that_held(spark):
-    import duckdb
-
-    from siglab.catalogue import queries
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
-    want = dict(con.execute(f"WITH {queries._WALK} SELECT series_id, avg((test_sharpe > 0)::int) * 25 FROM walk GROUP BY series_id").fetchall())
-    was = {r[0]: r[1:] for r in con.execute(queries.TWINS["robustness_points"]).fetchall()}
-    got = queries.QUERIES["robustness_points"](spark, SF).collect()
-    assert len(got) == len(was) and any(want.values())
-    for r in got:
-        stable, before = want.get(r.series_id, 0.0), dict(zip(("config_id", "oos", "stability", "drawdown", "cost", "score"), was[r.series_id]))
-        assert r.stability_points == pytest.approx(stable, abs=1e-6) and r.oos_sharpe_points == pytest.approx(before["oos"], abs=1e-6)
-        assert r.score == pytest.approx(before["oos"] + before["drawdown"] + before["cost"] + stable, abs=1e-5)
-
-
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
 def test_bootstrap_draws_a_thousand_paths_as_the_twin_does(spark):
     import duckdb
@@ -63,3 +45,11 @@ def test_bootstrap_draws_a_thousand_paths_as_the_twin_does(spark):
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 6 * 13
+
+
+def test_only_absent_optional_modules_are_passed_over(tmp_path, monkeypatch):
+    monkeypatch.syspath_prepend(str(tmp_path))
+    (tmp_path / "broken_part.py").write_text("import no_such_module_at_all\n")
+    assert entry._optional("no_such_package.part") is None
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("broken_part")

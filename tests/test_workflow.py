@@ -37,3 +37,39 @@ def test_views(short):
     bins = views.histogram(run, "strategy_return").toPandas()
     assert bins.n.sum() == 300 and bins.bin.between(1, 40).all()
     assert views.formatted(0.1234, "pct") == "+12.3%" and views.formatted(0.0, "pct") == "0.0%" and views.formatted(7.0, "int") == "7"
+
+
+def test_whole_runs_take_one_series(spark):
+    panel = walks.scaled(spark, 2, 300)
+    for run in (lambda: workflow.run_pipeline(spark, panel=panel), lambda: workflow.run_research(panel)):
+        with pytest.raises(ValueError, match="one series"):
+            run()
+
+
+def test_a_registered_family_runs_like_the_others(short):
+    from pyspark.sql import functions as F
+
+    from siglab.operators import families
+
+    families.register("calm", lambda c, s: {"vol": s.volatility(c.vol_lookback), "target": F.when(s.volatility(c.vol_lookback) < 0.012, 1.0).otherwise(0.0)})
+    c = workflow.StrategyConfig(signal_family="calm")
+    out = engine.bars(short, c).toPandas().sort_values("ts")
+    assert c.label == "calm 20/60" and out.position.isin([0, 1]).all() and out.position.nunique() == 2
+
+
+def test_the_volatility_filter_adds_one_exchange(short):
+    from siglab.config import candidates
+
+    plan = engine.bars(short, candidates())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 2 and plan.count("MapInArrow") == 1
+
+
+def test_running_quantiles_equal_numpy():
+    import numpy as np
+
+    from siglab.functions.running import Running
+
+    x = np.random.default_rng(4).normal(size=700).round(2)
+    for q in (0.0, 0.5, 0.8, 0.95, 1.0):
+        r = Running(q)
+        assert all(abs(r.add(v) - np.quantile(x[: i + 1], q)) < 1e-12 for i, v in enumerate(x))
