@@ -117,12 +117,6 @@ def test_running_quantile(values, q):
         assert r.add(v) == pytest.approx(np.quantile(values[: i + 1], q), abs=1e-12)
 
 
-def test_running_quantile_in_many_pieces():
-    values, s = np.random.default_rng(1).normal(size=9000), running.Sorted()
-    for x in values:
-        s.add(float(x))
-    assert len(s.pieces) > 2 and np.isclose(s.quantile(0.8), np.quantile(values, 0.8))
-
 
 def test_sizing_and_caps(walk):
     wide = lambda **x: engine.bars(walk, StrategyConfig(**x)).orderBy("ts").toPandas()
