@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siglab.catalogue import twins as T
-from siglab.config import IDENTITY, StrategyConfig, candidates, grid
+from siglab.config import IDENTITY, StrategyConfig, candidates, check_windows, grid
+from siglab.errors import ValidationError
 from siglab.functions import frames
 from siglab.operators import attribution, costs, families, features, robustness, scorecard, views
 from siglab.plans import engine, sweep
-from siglab.sources import gates, walks
+from siglab.sources import files, gates, walks
 from siglab.streaming import bars as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,6 +168,62 @@ def quality_report(spark, sf_dir):
     return gates.quality(panel(spark, sf_dir))
 
 
+@query(f"""{T.PANEL}, {T.based()}, q AS (SELECT series_id, count(*) AS n, avg((ret = 0)::int) FILTER (WHERE ret IS NOT NULL) AS zero FROM base GROUP BY series_id)
+SELECT series_id, 'short' AS note, n::double AS value FROM q WHERE n < 3000 UNION ALL SELECT series_id, 'stale', zero FROM q WHERE zero > 0.2 UNION ALL SELECT series_id, 'alone', NULL FROM q""")
+def quality_notes(spark, sf_dir):
+    return gates.notes(panel(spark, sf_dir), short_rows=3000)
+
+
+#: Tables as the loader may meet them: clean, with repeated days, with a date column that holds none, with prices that are none.
+LOADS = {
+    "clean": ("orders", "o_orderdate", "o_totalprice", "o_orderkey"),
+    "repeated": ("orders", "o_orderdate", "o_totalprice", "o_orderpriority"),
+    "undated": ("orders", "o_orderpriority", "o_totalprice", "o_orderkey"),
+    "unpriced": ("events", "ts", "props", "event_type"),
+    "events": ("events", "ts", "value", "event_type"),
+}
+
+
+def _gates_sql(case: str, table: str, date: str, close: str, series: str) -> str:
+    x = f"try_cast({close}::varchar AS double)"
+    price = f"CASE WHEN NOT isnan({x}) THEN {x} END"
+    return f"""SELECT '{case}' AS loaded, sum(n)::bigint AS n_rows, coalesce(sum(n) FILTER (WHERE ts IS NULL), 0)::bigint AS bad, coalesce(sum(n - 1) FILTER (WHERE ts IS NOT NULL), 0)::bigint AS twice, sum(missing)::bigint AS missing, sum(low)::bigint AS low
+FROM (SELECT ts, count(*) AS n, count(*) FILTER (WHERE c IS NULL) AS missing, count(*) FILTER (WHERE c <= 0) AS low FROM (SELECT {series} AS s, try_cast({date}::varchar AS timestamp) AS ts, {price} AS c FROM {table}) GROUP BY s, ts)"""
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(_gates_sql(k, *v) for k, v in LOADS.items()) + ")", plain=True)
+def loader_gates(spark, sf_dir):
+    def one(case: str, table: str, date: str, close: str, series: str) -> DataFrame:
+        raw = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        text = raw.select(*(F.col(c).cast("string").alias(c) for c in (date, close, series)))  # as a CSV file gives them
+        return files.gate_counts(files.parsed(text, date, close, series)).select(F.lit(case).alias("loaded"), "*")
+
+    first, *others = (one(k, *v) for k, v in LOADS.items())
+    for x in others:
+        first = first.unionByName(x)
+    return first
+
+
+@query("SELECT o_orderkey::varchar AS series_id, o_orderdate::timestamp AS ts, o_totalprice AS close FROM orders", plain=True)
+def loaded_panel(spark, sf_dir):
+    return files.from_parquet(spark, f"{sf_dir}/orders.parquet", "o_orderdate", "o_totalprice", "o_orderkey")
+
+
+_PAIRS = [(a, b) for a in (-5, 0, 20, 60) for b in (0, 20, 40, 60, 120)]
+
+
+@query(f"""SELECT a AS short_window, b AS long_window, CASE WHEN a <= 0 OR b <= 0 THEN 'Windows must be positive.' WHEN a >= b THEN 'short_window must be strictly smaller than long_window.' END AS said
+FROM (VALUES {', '.join(f'({a}, {b})' for a, b in _PAIRS)}) t(a, b)""", plain=True)
+def window_checks(spark, sf_dir):
+    def said(a: int, b: int) -> str | None:
+        try:
+            check_windows(a, b)
+        except ValidationError as e:
+            return str(e)
+
+    return spark.createDataFrame([(a, b, said(a, b)) for a, b in _PAIRS], "short_window int, long_window int, said string")
+
+
 # Signals and exposure
 
 
@@ -258,12 +315,26 @@ def cost_breakdown(spark, sf_dir):
     return views.cost_breakdown(_bars(spark, sf_dir, COSTED))
 
 
-@query(f"""{_sql_bars(BASE)}, e AS (SELECT *, min(net) OVER (PARTITION BY series_id) AS lo, max(net) OVER (PARTITION BY series_id) AS hi FROM bars)
-SELECT series_id, (CASE WHEN lo = hi THEN 1 ELSE least(floor((net - lo) / (hi - lo) * 40) + 1, 40) END)::int AS bin, count(*) AS n FROM e GROUP BY ALL""", plain=True)
+@query(f"{_sql_bars(BASE)}, d AS (SELECT *, (eq / max(eq) OVER {T.so_far(RUN)} - 1) * 100 AS dd FROM bars) SELECT series_id, config_id, {T.r('min(dd)', 'trough')}, arg_min(ts, (dd, ts)) AS trough_ts FROM d GROUP BY series_id, config_id")
+def trough(spark, sf_dir):
+    return views.trough(_bars(spark, sf_dir, BASE))
+
+
+def _histogram_sql(source: str, x: str) -> str:
+    return f"""binned AS (SELECT *, min({x}) OVER (PARTITION BY series_id) AS lo, max({x}) OVER (PARTITION BY series_id) AS hi FROM {source})
+SELECT series_id, (CASE WHEN lo = hi THEN 1 ELSE least(floor(({x} - lo) / (hi - lo) * 40) + 1, 40) END)::int AS bin, count(*) AS n FROM binned GROUP BY ALL"""
+
+
+@query(f"{_sql_bars(BASE)}, {_histogram_sql('bars', 'net')}", plain=True)
 def return_histogram(spark, sf_dir):
     return views.histogram(_bars(spark, sf_dir, BASE), "strategy_return")
 
 
+@query(f"{_sql_bars(BASE)}, held AS (SELECT * FROM bars WHERE position > 0), {_histogram_sql('held', 'net')}", plain=True)
+def in_market_histogram(spark, sf_dir):
+    return views.histogram(_bars(spark, sf_dir, BASE).filter("position > 0"), "strategy_return")
+
+
 # Scorecards and sweeps
 
 
@@ -350,18 +421,25 @@ def walk_forward(spark, sf_dir):
 # Robustness and attribution
 
 
-@query(f"""{_sql_bars(_REVERSION)}, own AS (SELECT series_id, net, row_number() OVER {T.order()} - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM bars),
+_SIMS = f"""{_sql_bars(_REVERSION)}, own AS (SELECT series_id, net, row_number() OVER {T.order()} - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM bars),
 drawn AS (SELECT series_id, sim_id, i, ('0x' || substr(md5('123:' || sim_id || ':' || i), 1, 8))::bigint % n AS k FROM own, (SELECT unnest(range(0, {SIMULATIONS})) AS sim_id)),
 got AS (SELECT d.series_id, sim_id, d.i, o.net FROM drawn d JOIN own o ON o.series_id = d.series_id AND o.i = d.k),
 path AS (SELECT *, product(1 + net) OVER (PARTITION BY series_id, sim_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM got),
 deep AS (SELECT *, e / max(e) OVER (PARTITION BY series_id, sim_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM path),
-sims AS (SELECT series_id, sim_id, product(1 + net) - 1 AS tr, min(dd) AS md FROM deep GROUP BY ALL)
-SELECT series_id, count(*) AS n_simulations, {T.r('quantile_cont(tr, 0.5)', 'median_total_return')}, {T.r('quantile_cont(tr, 0.05)', 'p5_total_return')}, {T.r('quantile_cont(tr, 0.95)', 'p95_total_return')},
+sims AS (SELECT series_id, sim_id, product(1 + net) - 1 AS tr, min(dd) AS md FROM deep GROUP BY ALL)"""
+
+
+@query(f"""{_SIMS} SELECT series_id, count(*) AS n_simulations, {T.r('quantile_cont(tr, 0.5)', 'median_total_return')}, {T.r('quantile_cont(tr, 0.05)', 'p5_total_return')}, {T.r('quantile_cont(tr, 0.95)', 'p95_total_return')},
 {T.r('avg((tr < 0)::int)', 'probability_of_loss')}, {T.r('quantile_cont(md, 0.5)', 'median_max_drawdown')}, {T.r('quantile_cont(md, 0.05)', 'p5_max_drawdown')} FROM sims GROUP BY series_id""")
 def bootstrap_summary(spark, sf_dir):
     return robustness.bootstrap_summary(robustness.bootstrap_paths(_bars(spark, sf_dir, _REVERSION), SIMULATIONS))
 
 
+@query(f"{_SIMS}, {_histogram_sql('sims', 'tr')}", plain=True)
+def bootstrap_histogram(spark, sf_dir):
+    return views.histogram(robustness.bootstrap_paths(_bars(spark, sf_dir, _REVERSION), SIMULATIONS), "total_return")
+
+
 _RUNGS = f"rungs AS (SELECT *, gross - turn * rung AS laddered FROM bars, {T.ladder_values()})"
 _LADDER = f"{_sql_bars(_REVERSION)}, {_RUNGS}, {T.kpis((*RUN, 'rung'), 'rungs', 'lk', net='laddered')}"
 
@@ -381,15 +459,32 @@ def stress(spark, sf_dir):
     return attribution.stress(_bars(spark, sf_dir, _REVERSION))
 
 
-@query(f"""{_sql_bars(_REVERSION)}, {T.regimes('bars', RUN)},
+_REGIMES = f"""{_sql_bars(_REVERSION)}, {T.regimes('bars', RUN)},
 e AS (SELECT *, {T.product('net', (*RUN, 'regime_order'))} AS reg_eq FROM reg WHERE regime_order IS NOT NULL), d AS (SELECT *, reg_eq / max(reg_eq) OVER {T.so_far((*RUN, 'regime_order'))} - 1 AS dd FROM e)
 SELECT series_id, config_id, regime_order, {T.REGIME_NAME} AS regime, count(*) AS n_days, count(*) FILTER (WHERE position > 0) AS active_days, {T.r('avg((position > 0)::int)', 'active_share')}, {T.r('product(1 + net) - 1', 'total_return')},
 {T.r('product(1 + mr) - 1', 'baseline_return')}, {T.r('CASE WHEN count(*) >= 20 AND stddev_pop(net) > 0 THEN avg(net) * 252 / (stddev_pop(net) * sqrt(252)) END', 'sharpe_ratio')}, {T.r('min(dd)', 'max_drawdown')}
-FROM d GROUP BY series_id, config_id, regime_order""")
+FROM d GROUP BY series_id, config_id, regime_order"""
+
+
+@query(_REGIMES)
 def regime_summary(spark, sf_dir):
     return attribution.by_regime(_bars(spark, sf_dir, _REVERSION))
 
 
+_SHOWN = ("total_return", "sharpe_ratio", "max_drawdown", "active_share")
+
+
+def _scaled_sql(x: str) -> str:
+    low, high = (f"{f}({x}) OVER (PARTITION BY series_id, config_id)" for f in ("min", "max"))
+    return T.r(f"CASE WHEN {low} = {high} THEN 0.5 ELSE ({x} - {low}) / nullif({high} - {low}, 0) END", f"{x}_scaled")
+
+
+@query(f"SELECT series_id, config_id, regime, {', '.join(map(_scaled_sql, _SHOWN))} FROM (WITH {_REGIMES})")
+def regime_scaled(spark, sf_dir):
+    by_regime = QUERIES["regime_summary"](spark, sf_dir)
+    return views.normalised(by_regime, _SHOWN, RUN).select(*RUN, "regime", *(f"{c}_scaled" for c in _SHOWN))
+
+
 @query(f"""{_sql_bars(_REVERSION)}, {T.segments()}, {T.kpis(_SEGMENT, 'seg', 'sk')}, {_RUNGS}, {T.kpis((*RUN, 'rung'), 'rungs', 'lk', net='laddered')},
 ends AS (SELECT series_id, config_id, arg_min(total_return, rung) AS low, arg_max(total_return, rung) AS high FROM lk GROUP BY ALL),
 pts AS (SELECT series_id, config_id, least(1, greatest(0, sharpe_ratio / 1.5)) * 40 AS a, least(1, greatest(0, 1 + max_drawdown / 0.5)) * 15 AS b, CASE WHEN low > 0 AND high > 0 THEN 20e0 WHEN low > 0 THEN 10e0 ELSE 0e0 END AS c

@@ -80,23 +80,36 @@ GATES = {
 }
 
 
-def load(raw: DataFrame, date_column: str | None = None, close_column: str = "close", series_column: str | None = None) -> DataFrame:
-    """series_id, ts, close and the optional columns, after the gates; names match in any case, but for the close's."""
-    date = _column(raw, "timestamp", "date", "timestamp", exact=False) if date_column is None else _column(raw, "timestamp", date_column, exact=True)
-    close = _column(raw, "close", close_column, exact=True)
+def parsed(raw: DataFrame, date_column: str | None = None, close_column: str = "close", series_column: str | None = None) -> DataFrame:
+    """series_id, ts, close and the optional columns, null where a value can't be read; names match in any case, but for the close's."""
+    date, close = _date(raw, date_column), _column(raw, "close", close_column, exact=True)
     number = lambda c: F.nanvl(F.expr(f"try_cast(`{c}` AS double)"), F.lit(None).cast("double"))
     optional = {c.lower(): c for c in raw.columns if c.lower() in OPTIONAL}
-    frame = raw.select(
+    return raw.select(
         (F.col(f"`{series_column}`").cast("string") if series_column else F.lit("series")).alias("series_id"), F.expr(f"coalesce(try_cast(`{date}` AS timestamp), try_cast(`{date}` AS date))").alias("ts"),
         number(close).alias("close"), *(number(optional[c]).alias(c) for c in OPTIONAL if c in optional),
     )
+
+
+def gate_counts(frame: DataFrame) -> DataFrame:
+    """One row: n_rows, and of how many rows each of :data:`GATES` complains."""
     same = frame.groupBy("series_id", "ts").agg(F.count("*").alias("rows"), F.count_if(F.col("close").isNull()).alias("missing"), F.count_if(F.col("close") <= 0).alias("low"))
-    found = same.agg(
-        F.sum("rows").alias("rows"), F.sum(F.when(F.col("ts").isNull(), F.col("rows"))).alias("bad"), F.sum(F.when(F.col("ts").isNotNull(), F.col("rows") - 1)).alias("twice"), F.sum("missing").alias("missing"), F.sum("low").alias("low")
-    ).first()
-    if not found.rows:
+    dated = F.col("ts").isNotNull()
+    sums = {"n_rows": F.col("rows"), "bad": F.when(~dated, F.col("rows")), "twice": F.when(dated, F.col("rows") - 1), "missing": F.col("missing"), "low": F.col("low")}
+    return same.agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in sums.items()))
+
+
+def _date(raw: DataFrame, date_column: str | None) -> str:
+    return _column(raw, "timestamp", "date", "timestamp", exact=False) if date_column is None else _column(raw, "timestamp", date_column, exact=True)
+
+
+def load(raw: DataFrame, date_column: str | None = None, close_column: str = "close", series_column: str | None = None) -> DataFrame:
+    """What :func:`parsed` gives, after the gates; the first that isn't clean raises."""
+    frame = parsed(raw, date_column, close_column, series_column)
+    found = gate_counts(frame).first()
+    if not found.n_rows:
         raise ValueError("There are no rows.")
     for gate, said in GATES.items():
         if found[gate]:
-            raise ValueError(said.format(n=found[gate], date=date, close=close))
+            raise ValueError(said.format(n=found[gate], date=_date(raw, date_column), close=close_column))
     return frame

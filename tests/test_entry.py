@@ -15,7 +15,7 @@ def test_every_core_query_has_a_twin():
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["returns", "regime_labels", "validation_gates", "sig_volfilter", "drawdown_guard", "kpis_extended", "heatmap_pivot", "robustness_points"])
+@pytest.mark.parametrize("name", ["returns", "regime_labels", "validation_gates", "sig_volfilter", "drawdown_guard", "kpis_extended", "heatmap_pivot", "robustness_points", "quality_notes", "loader_gates", "loaded_panel", "window_checks", "in_market_histogram", "regime_scaled"])
 def test_queries_match_their_twins(spark, name):
     import duckdb
     import pandas as pd

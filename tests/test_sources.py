@@ -83,3 +83,14 @@ def test_quality_notes(spark):
     notes = gates.quality_notes(stale)["synthetic"]
     assert any("exactly zero" in x for x in notes) and any("benchmark" in x for x in notes) and not any("Short" in x for x in notes)
     assert any("Short series" in x for x in gates.quality_notes(_frame(spark, [1.0, 2.0]))["a"])
+
+
+def test_gate_counts_of_dirty_and_of_empty_rows(spark):
+    raw = spark.createDataFrame([("2021-01-04", "1"), ("2021-01-04", "x"), ("soon", "-2"), (None, "NaN")], "date string, close string")
+    assert files.gate_counts(files.parsed(raw)).first().asDict() == {"n_rows": 4, "bad": 2, "twice": 1, "missing": 2, "low": 1}
+    assert files.gate_counts(files.parsed(raw.filter("false"))).first().n_rows == 0
+
+
+def test_a_series_without_notes_is_listed(spark):
+    panel = walks.seeded(spark, 400, 11).withColumn("benchmark_close", F.col("close"))
+    assert gates.quality_notes(panel) == {"synthetic": []} and gates.notes(panel).count() == 0
