@@ -123,6 +123,7 @@ def drop_frequent(docs: DataFrame, documents: int = DOCUMENTS, least_chars: int
         gone = storage.materialise(each.join(frequent, ["a", "b"]).groupBy("line_runs_key").agg(F.collect_set("at").alias("line_runs_gone")), "lines-that-go")
     split = F.split("text", "\n", -1)
     kept = F.when(F.col("line_runs_gone").isNull(), F.col("text")).otherwise(_once(split, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "line_runs_gone"), lambda i: F.get(x, i)), "\n")))
-    both = named.join(gone.withColumnRenamed("line_runs_key", "line_runs_same"), F.col("line_runs_key").eqNullSafe(F.col("line_runs_same")), "left")
+    # Which documents lose lines is written first, so its size is known: without the hint a small table would be broadcast, a larger one not.
+    both = named.join(gone.withColumnRenamed("line_runs_key", "line_runs_same").hint("merge"), F.col("line_runs_key").eqNullSafe(F.col("line_runs_same")), "left")
     counted = both.withColumn("line_runs_n_lines", F.size(split).cast("long")).withColumn("line_runs_n_dropped", F.coalesce(F.size("line_runs_gone"), F.lit(0)).cast("long")).withColumn("text", kept)
     return counted.select(*(F.col(f"`{c}`") for c in docs.columns), "line_runs_n_lines", "line_runs_n_dropped")
