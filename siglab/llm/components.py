@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from siglab.llm import shingles, storage
 
-#: Lots of a prefix bucket in the first turn, each with a leader, and by how much each further turn multiplies them.
-FIRST, LEADERS = 256, 16
+#: Lots of a prefix bucket in the first turn, each with a leader, and by how much each further turn multiplies them. A
+#: turn makes at most as many rows as entries times lots, and few leaders suffice for most of a large group to join.
+FIRST, LEADERS = 16, 16
 #: Frequent hashes that the order of prefixes knows.
 LISTED = 50_000
 #: Parts that the rows of one class are dealt to where they look up its name.
