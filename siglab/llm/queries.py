@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglab.llm import dart_dedup, fingerprint, line_runs, mixing, packing, quality, secrets, sharding, topk, toxicity
+from siglab.llm import alignment, conversation_trie, dart_dedup, fingerprint, line_runs, mixing, packing, quality, secrets, sharding, topk, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -70,8 +70,16 @@ def op10_taat_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.pmod(F.col("vec_id"), F.lit(20)) == 0)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_documents(spark, sf_dir), *map(tokenizer_path, ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.of_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_fingerprints, op2_best_fit_packing, op3_toxicity_chain, op4_poisson_mixing, op5_feistel_shards, op6_rff_quality, op7_dart_near_dedup, op8_secret_ownership, op9_line_runs, op10_taat_topk)
+    listed = (op1_fingerprints, op2_best_fit_packing, op3_toxicity_chain, op4_poisson_mixing, op5_feistel_shards, op6_rff_quality, op7_dart_near_dedup, op8_secret_ownership, op9_line_runs, op10_taat_topk, op11_token_alignment, op12_prefix_trie)
     return {f.__name__: f for f in listed}
 
 
@@ -133,6 +141,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_
 SELECT query_id, rank::integer AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+# CRC-32 from its definition: a table of 256 remainders by eight shifts each, then one step a byte.
+_CRC = "xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, x: xor(c // 256, crc[(xor(c, x) % 256 + 1)::integer]), 4294967295::bigint), 4294967295::bigint)"
+OP12_SQL = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, n::bigint)) AS crc),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % {conversation_trie.FAMILY} AS base, n, {_CRC} % {conversation_trie.LENGTHS} AS h FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), crc),
+r AS (SELECT c.conv_id, i + 1 AS depth, role, text FROM c JOIN t ON t.conv_id = c.base WHERE i < c.h
+ UNION ALL SELECT c.conv_id, i - c.h + least(c.h, coalesce(b.n, 0)) + 1, role, text FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN c b ON b.conv_id = c.base WHERE i >= c.h),
+p AS (SELECT conv_id, depth, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, sha256(to_json(list([role, text]) OVER (PARTITION BY conv_id ORDER BY depth))::varchar) AS node FROM r
+ UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+node AS (SELECT node, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saves FROM p GROUP BY node),
+link AS (SELECT DISTINCT below.node, top.node AS parent FROM p below JOIN p top ON below.conv_id = top.conv_id AND below.depth = top.depth + 1),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM link GROUP BY parent),
+under AS (SELECT DISTINCT top.node AS node, below.node AS below FROM p top JOIN p below ON top.conv_id = below.conv_id AND top.depth <= below.depth),
+sums AS (SELECT under.node, sum(saves) AS saved_tokens, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves FROM under JOIN node ON node.node = under.below LEFT JOIN kids ON kids.node = under.below GROUP BY under.node),
+ends AS (SELECT node, string_agg(conv_id::varchar, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(node, depth) AS node FROM p GROUP BY conv_id) GROUP BY node)
+SELECT node.conv_id, node.depth::bigint AS depth, top.conv_id AS parent_conv_id, node.n_convs::bigint AS n_convs, coalesce(n_children, 0)::bigint AS n_children, n_leaves::bigint AS n_leaves, saved_tokens::bigint AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node LEFT JOIN link USING (node) LEFT JOIN node top ON top.node = link.parent LEFT JOIN kids ON kids.node = node.node JOIN sums ON sums.node = node.node LEFT JOIN ends ON ends.node = node.node
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": OP4_SQL, "op8_secret_ownership": OP8_SQL, "op9_line_runs": OP9_SQL, "op10_taat_topk": OP10_SQL}
+    return {"op4_poisson_mixing": OP4_SQL, "op8_secret_ownership": OP8_SQL, "op9_line_runs": OP9_SQL, "op10_taat_topk": OP10_SQL, "op12_prefix_trie": OP12_SQL}
