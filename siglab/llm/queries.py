@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siglab.llm import alignment, conversation_trie, dart_dedup, fingerprint, line_runs, mixing, packing, quality, secrets, sharding, topk, toxicity
+from siglab.llm import alignment, conversation_trie, dart_dedup, fingerprint, html_blocks, line_runs, mixing, packing, quality, secrets, sharding, topk, toxicity
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -78,8 +78,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.of_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = (op1_fingerprints, op2_best_fit_packing, op3_toxicity_chain, op4_poisson_mixing, op5_feistel_shards, op6_rff_quality, op7_dart_near_dedup, op8_secret_ownership, op9_line_runs, op10_taat_topk, op11_token_alignment, op12_prefix_trie)
+    listed = (op1_fingerprints, op2_best_fit_packing, op3_toxicity_chain, op4_poisson_mixing, op5_feistel_shards, op6_rff_quality, op7_dart_near_dedup, op8_secret_ownership, op9_line_runs, op10_taat_topk, op11_token_alignment, op12_prefix_trie, op13_html_main_text)
     return {f.__name__: f for f in listed}
 
 
