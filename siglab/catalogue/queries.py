@@ -16,7 +16,7 @@ from siglab.config import IDENTITY, StrategyConfig, candidates, check_windows, g
 from siglab.errors import ValidationError
 from siglab.functions import frames
 from siglab.operators import attribution, costs, families, features, robustness, scorecard, views
-from siglab.plans import engine, sweep
+from siglab.plans import chunked, engine, sweep
 from siglab.sources import files, gates, walks
 from siglab.streaming import bars as streaming
 
@@ -42,6 +42,8 @@ SIZED = {
     "vol_cap": StrategyConfig(signal_family="momentum", use_risk_controls=True, vol_cap=0.15),
 }
 SIMULATIONS = 1000
+#: Rows of a chunk where a query goes by chunks; the panels have about 2,450 rows a series.
+CHUNK_ROWS = 1024
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -67,6 +69,10 @@ def _bars(spark: SparkSession, sf_dir: str, configs) -> DataFrame:
     return engine.bars(panel(spark, sf_dir), configs, components=False)
 
 
+def _long_bars(spark: SparkSession, sf_dir: str, configs) -> DataFrame:
+    return chunked.bars(panel(spark, sf_dir), configs, components=False, rows=CHUNK_ROWS)
+
+
 def _sql_bars(*configs: StrategyConfig, **options) -> str:
     return f"{T.PANEL}, {T.bars(configs, **options)}"
 
@@ -248,7 +254,7 @@ for _name, _config in SIZED.items():
 
 @query(f"{_sql_bars(GUARDED)} SELECT series_id, ts, {T.r('position')}, {T.r('geq', 'gross_equity')} FROM bars")
 def drawdown_guard(spark, sf_dir):
-    return _bars(spark, sf_dir, GUARDED).select("series_id", "ts", "position", "gross_equity")
+    return _long_bars(spark, sf_dir, GUARDED).select("series_id", "ts", "position", "gross_equity")
 
 
 _ROLLING_SQL = f"({T.full('stddev_pop', 'mr', 20)}) * sqrt(252)"
@@ -274,7 +280,7 @@ _BARS = [x.split(" AS ")[-1] for x in _NAMED]
 
 @query(f"{_sql_bars(*candidates())} SELECT series_id, config_id, ts, {_BARS_SQL} FROM bars")
 def backtest_bars(spark, sf_dir):
-    return _bars(spark, sf_dir, candidates()).select("series_id", "config_id", "ts", *_BARS)
+    return _long_bars(spark, sf_dir, candidates()).select("series_id", "config_id", "ts", *_BARS)
 
 
 @query(f"{_sql_bars(BASE)} SELECT series_id, config_id, ts, {T.r('(geq - 1) * 100', 'gross')}, {T.r('(eq - 1) * 100', 'net')} FROM bars")

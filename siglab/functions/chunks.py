@@ -22,10 +22,10 @@ ROWS = 16_384
 AT, CHUNK, LENT = "at_", "chunk_", "lent_"
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
-    """``right`` with its keys renamed, and the condition that keys agree, nulls with nulls."""
-    other = right.withColumnsRenamed({k: f"{k}__" for k in keys})
-    return other, reduce(lambda a, b: a & b, (left[k].eqNullSafe(other[f"{k}__"]) for k in keys))
+def _known(keys: Sequence[str], value: Column) -> Column:
+    """``value``, or an error in rows with a null key: joins on keys, which the rows' partitioning serves, would lose them."""
+    null = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    return F.when(null, F.raise_error(F.lit(f"Scans by chunks need keys; one of {', '.join(keys)} is null.")).cast("long")).otherwise(value)
 
 
 def _before(totals: DataFrame, keys: Sequence[str], by: str, scans: Mapping[str, tuple[Callable, str]]) -> DataFrame:
@@ -40,9 +40,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket
     held = df.withColumn("bucket_", bucket)
     inner = held.withColumn("inner_", F.row_number().over(Window.partitionBy(*keys, "bucket_").orderBy(*order)) - 1)
     sizes = held.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_"))
-    starts, same = _same(inner, _before(sizes, keys, "bucket_", {"n_": (F.sum, "n_")}), [*keys, "bucket_"])
-    place = (F.col("inner_") + F.coalesce("n_before_", F.lit(0))).cast("long").alias(name)
-    return inner.join(starts, same).select(*(F.col(f"`{c}`") for c in df.columns), place)
+    starts = _before(sizes, keys, "bucket_", {"n_": (F.sum, "n_")})
+    place = _known(keys, (F.col("inner_") + F.coalesce("n_before_", F.lit(0))).cast("long")).alias(name)
+    return inner.join(starts, [*keys, "bucket_"], "left").select(*(F.col(f"`{c}`") for c in df.columns), place)
 
 
 def time_bucket(df: DataFrame, by: str = "ts", rows: int = ROWS) -> Column:
@@ -69,24 +69,25 @@ def returned(df: DataFrame) -> DataFrame:
     return df.filter(~F.col(LENT)).drop(LENT)
 
 
-def scanned(df: DataFrame, keys: Sequence[str], scans: Mapping[str, tuple[Callable, Column, Callable]], by: str = AT, chunk: str = CHUNK) -> DataFrame:
+def scanned(df: DataFrame, keys: Sequence[str], scans: Mapping[str, tuple], by: str = AT, chunk: str = CHUNK) -> DataFrame:
     """``df`` with running aggregates over each key in the order of ``by``.
 
     ``scans``: by column name, the aggregate (F.sum, F.product, F.max ...), what it takes, and how two of its results
-    are joined into one. Chunks of a key are disjoint ranges of ``by``; the aggregate of a chunk's rows up to one is
-    joined to that of all chunks before.
+    are joined into one; where the aggregate goes by the rows' order, a fourth says what it gives of a whole chunk.
+    Chunks of a key are disjoint ranges of ``by``; the aggregate of a chunk's rows up to one is joined to that of all
+    chunks before. Keys aren't null.
     """
     own = Window.partitionBy(*keys, chunk).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = df.groupBy(*keys, chunk).agg(*(agg(x).alias(f"{name}_") for name, (agg, x, _) in scans.items()))
-    before = _before(totals, keys, chunk, {f"{name}_": (agg, name) for name, (agg, _, _) in scans.items()})
-    within = df.withColumns({f"{name}_own_": agg(x).over(own) for name, (agg, x, _) in scans.items()})
-    entering, same = _same(within, before, [*keys, chunk])
+    totals = df.groupBy(*keys, chunk).agg(*((whole[0] if whole else agg(x)).alias(f"{name}_") for name, (agg, x, _, *whole) in scans.items()))
+    before = _before(totals, keys, chunk, {f"{name}_": (agg, name) for name, (agg, *_) in scans.items()})
+    within = df.withColumns({f"{name}_own_": agg(x).over(own) for name, (agg, x, *_) in scans.items()})
 
-    def whole(name: str, both: Callable) -> Column:
+    def joined(name: str, both: Callable) -> Column:
         left, right = F.col(f"{name}_before_"), F.col(f"{name}_own_")
         return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(both(left, right)).alias(name)
 
-    return within.join(entering, same).select(*(F.col(f"`{c}`") for c in df.columns), *(whole(name, both) for name, (_, _, both) in scans.items()))
+    met = within.join(before, [*keys, chunk], "left")
+    return met.select(*(F.col(f"`{c}`") for c in df.columns), *(joined(name, both) for name, (_, _, both, *_) in scans.items()))
 
 
 def plus(a: Column, b: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siglab.config import SIZING_METHODS, StrategyConfig
 from siglab.errors import ValidationError
-from siglab.functions import frames
+from siglab.functions import chunks, frames
 from siglab.operators.families import Shared
 
 #: Rows of the volatility that the cap looks at.
@@ -65,3 +65,38 @@ def compute_exposure(df: DataFrame, c: StrategyConfig, keys: Sequence[str] = fra
     shared = Shared(keys)
     x = capped(sized(F.col("target"), c, shared), c, shared)
     return shared.add(df).withColumn("exposure", x).drop(*shared.first)
+
+
+def guarded_by_chunks(df: DataFrame, keys: Sequence[str], level: str = "guard_level", before: str = "before_") -> DataFrame:
+    """:func:`guarded` over series in chunks; ``before``, the position one bar earlier, is guarded too.
+
+    What a chunk does to the guard is a function of the equity E and peak P that enter it. With g its own growth and m
+    the maximum of that so far, a bar breaches if g / m or E * g / P is low enough; so a chunk's summary is its growth,
+    its highest m, its lowest g / m and its lowest g, the last two also without its last bar, as what was breached
+    there strikes two bars on. Summaries are scanned in the order of chunks, then each row looks at what
+    enters its chunk. Levels are at most 1.
+    """
+    own = [*keys, chunks.CHUNK]
+    far = -F.abs(F.col(level))
+    low = lambda x: F.coalesce(x - 1 <= far, F.lit(False))
+    grown = 1 + F.col("position") * F.col("market_return")
+    upto = frames.upto(own, chunks.AT)
+    g = df.withColumn("g_", F.product(grown).over(upto)).withColumn("m_", F.greatest(F.lit(0.0), F.max("g_").over(upto)))
+    g = g.withColumn("own_", frames.ratio(F.col("g_"), F.col("m_"))).withColumn("more_", F.lead(chunks.AT).over(frames.ordered(own, chunks.AT)).isNotNull())
+    inner = lambda c: F.min(F.when(F.col("more_"), F.col(c)))
+    summary = g.groupBy(*own, level).agg(F.max_by("g_", chunks.AT).alias("growth_"), F.max("m_").alias("top_"), F.min("own_").alias("l_"), F.min("g_").alias("n_"), inner("own_").alias("li_"), inner("g_").alias("ni_"))
+    past = frames.ordered(keys, chunks.CHUNK).rowsBetween(frames.Window.unboundedPreceding, -1)
+    entered = summary.withColumn("e_", F.coalesce(F.product("growth_").over(past), F.lit(1.0)))
+    entered = entered.withColumn("p_", F.greatest(F.lit(1.0), F.max(F.col("e_") * F.col("top_")).over(past)))
+    at = lambda c: F.col("e_") * F.col(c) / F.col("p_")
+    entered = entered.withColumn("hit_", low(F.col("l_")) | low(at("n_"))).withColumn("early_", low(F.col("li_")) | low(at("ni_")))
+    entered = entered.withColumn("struck_", F.coalesce(F.bool_or("hit_").over(past), F.lit(False)))
+    # Whether the last bar before the chunk was struck already.
+    entered = entered.withColumn("was_", F.coalesce(F.lag(F.col("struck_") | F.col("early_")).over(frames.ordered(keys, chunks.CHUNK)), F.lit(False)))
+    met = g.join(entered.select(*own, "e_", "p_", "struck_", "was_"), own, "left")
+    met = met.withColumn("hit_", low(F.col("own_")) | low(at("g_")))
+    here = F.coalesce(F.bool_or("hit_").over(frames.ordered(own, chunks.AT).rowsBetween(frames.Window.unboundedPreceding, -1)), F.lit(False))
+    met = met.withColumn("now_", F.col("struck_") | here)
+    met = met.withColumn("then_", F.coalesce(F.lag("now_").over(frames.ordered(own, chunks.AT)), F.col("was_")))
+    flat = {"position": F.when(F.col("now_"), 0.0).otherwise(F.col("position")), before: F.when(F.col("then_") & F.col(before).isNotNull(), 0.0).otherwise(F.col(before))}
+    return met.withColumns(flat).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -49,10 +49,12 @@ class Shared:
         if self.first:
             df = df.withColumns({name: make() for name, make in self.first.items()})
         for name, (value, least, q) in self.second.items():
-            # The volatility is a window over the keys, so each series lies in one partition already.
-            df = running.with_quantile(df, value, q, least, name, self.keys, clustered=True)
+            df = self.with_threshold(df, value, q, least, name)
         return df
 
+    def with_threshold(self, df: DataFrame, value: str, q: float, least: int, name: str) -> DataFrame:
+        return running.with_quantile(df, value, q, least, name, self.keys)
+
 
 def _flag(c: Column) -> Column:
     return F.when(c, 1.0).when(~c, 0.0)

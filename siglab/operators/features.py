@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglab.functions import frames
+from siglab.functions import frames, selection
 
 # Windows of the standard feature set, names and bounds of regimes.
 TREND = (10, 20, 60)
@@ -47,7 +47,7 @@ def with_regimes(panel: DataFrame, window: int = REGIME_WINDOW, keys: Sequence[s
     """``panel`` with regime_vol, vol_regime and regime_order, by quantiles of each whole series (attribution only:
     they look ahead)."""
     vol = panel.withColumn("_ret", frames.change(F.col("close"), 1, keys)).withColumn("regime_vol", frames.full(F.stddev_pop, F.col("_ret"), window, keys)).drop("_ret")
-    cuts = vol.groupBy(*keys).agg(F.percentile("regime_vol", F.array(*map(F.lit, REGIME_BOUNDS))).alias("_cuts"))
+    cuts = selection.exact_quantiles(vol, "regime_vol", REGIME_BOUNDS, keys, "_cuts")
     v, at = F.col("regime_vol"), lambda k: F.get("_cuts", k)
     order = F.when(v <= at(0), 0).when(v <= at(1), 1).when(v <= at(2), 2).when(v.isNotNull() & at(0).isNotNull(), 3)
     named = F.get(F.array(*map(F.lit, REGIMES)), F.col("regime_order"))

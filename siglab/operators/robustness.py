@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siglab.functions import frames
@@ -17,24 +17,42 @@ def draw(seed: int, sim: Column, i: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), n)
 
 
+#: Paths that one row of the plan stands for until they are drawn.
+PATHS_A_LOT = 16
+
+
 def bootstrap_paths(bars: DataFrame, simulations: int = 1000, seed: int = 123, keys: Sequence[str] = frames.KEYS) -> DataFrame:
     """keys, sim_id, total_return, max_drawdown of paths drawn with replacement from a run's returns.
 
-    The draws are hashes, so they need no state and any part of them can be made anywhere.
+    The draws are hashes, so they need no state and any part of them can be made anywhere. A run's returns become one
+    array; lots of paths are dealt to tasks with it, and each path is drawn and followed step by step in place, so no
+    row is made for a step.
     """
-    order = Window.partitionBy(*keys).orderBy("ts")
-    own = bars.filter("strategy_return is not null").select(*keys, "strategy_return", (F.row_number().over(order) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    steps = own.select(*keys, "i", "n", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))).alias("sim_id"))
-    drawn = steps.withColumn("at", draw(seed, F.col("sim_id"), F.col("i"), F.col("n")))
-    got = drawn.join(own.select(*keys, F.col("i").alias("at"), "strategy_return"), [*keys, "at"])
-    sims = [*keys, "sim_id"]
-    eq = F.product(1 + F.col("strategy_return")).over(frames.upto(sims, "i"))
-    path = got.withColumn("_eq", eq).withColumn("_dd", frames.ratio(F.col("_eq"), F.max("_eq").over(frames.upto(sims, "i"))) - 1)
-    return path.groupBy(*sims).agg((F.product(1 + F.col("strategy_return")) - 1).alias("total_return"), F.min("_dd").alias("max_drawdown"))
+    told = F.transform(F.sort_array(F.collect_list(F.struct("ts", "strategy_return"))), lambda x: x["strategy_return"])
+    own = bars.filter("strategy_return is not null").groupBy(*keys).agg(told.alias("r_")).withColumn("n_", F.size("r_").cast("long"))
+    lots = own.select(*keys, "r_", "n_", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1), F.lit(PATHS_A_LOT))).alias("lot_"))
+    # By a key of (run, lot), not round-robin, so that a lost task's lots are made again where they were.
+    dealt = lots.repartition(*keys, "lot_")
+    each = dealt.select(*keys, "r_", "n_", F.explode(F.sequence(F.col("lot_"), F.least(F.col("lot_") + PATHS_A_LOT, F.lit(simulations)) - 1)).alias("sim_id"))
+    none = F.lit(None).cast("double")
+
+    def step(path: Column, i: Column) -> Column:
+        equity = path["e"] * (1 + F.get("r_", draw(seed, F.col("sim_id"), i, F.col("n_")).cast("int")))
+        return follow(path, equity)
+
+    def follow(path: Column, equity: Column) -> Column:
+        def seen(e: Column) -> Column:
+            peak = F.greatest(path["p"], e)
+            return F.struct(e.alias("e"), peak.alias("p"), F.least(path["d"], frames.ratio(e, peak) - 1).alias("d"))
+
+        return F.get(F.transform(F.array(equity), seen), 0)  # the equity is computed once, though it is named thrice
+
+    path = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n_") - 1), F.struct(F.lit(1.0).alias("e"), none.alias("p"), none.alias("d")), step)
+    return each.select(*keys, "sim_id", path.alias("x_")).select(*keys, "sim_id", (F.col("x_.e") - 1).alias("total_return"), F.col("x_.d").alias("max_drawdown"))
 
 
 def bootstrap_summary(paths: DataFrame, keys: Sequence[str] = frames.KEYS) -> DataFrame:
-    q = lambda c, p: F.percentile(c, F.lit(p))
+    q = lambda c, p: F.percentile(c, F.lit(p))  # noqa: E731 - a run has as many values as paths were asked for
     return paths.groupBy(*keys).agg(
         F.count("*").alias("n_simulations"), q("total_return", 0.5).alias("median_total_return"), q("total_return", 0.05).alias("p5_total_return"), q("total_return", 0.95).alias("p95_total_return"),
         F.avg((F.col("total_return") < 0).cast("double")).alias("probability_of_loss"), q("max_drawdown", 0.5).alias("median_max_drawdown"), q("max_drawdown", 0.05).alias("p5_max_drawdown"),

@@ -25,9 +25,9 @@ def returns(panel: DataFrame, keys: Sequence[str] = frames.KEYS) -> DataFrame:
     return out.withColumn("market_return", F.coalesce("ret", F.lit(0.0)))
 
 
-def positions(panel: DataFrame, configs: Sequence[StrategyConfig], keys: Sequence[str] = frames.KEYS, components: bool = False) -> DataFrame:
-    """A row for each bar and configuration with exposure, position (lagged, guarded) and rates."""
-    shared, each = families.Shared(keys), []
+def exposures(panel: DataFrame, configs: Sequence[StrategyConfig], shared: families.Shared, components: bool = False) -> DataFrame:
+    """A row for each bar and configuration with exposure, rates and guard level."""
+    keys, each = shared.keys, []
     for i, c in enumerate(configs):
         c.check()
         columns = families.signal(c, shared)
@@ -39,20 +39,27 @@ def positions(panel: DataFrame, configs: Sequence[StrategyConfig], keys: Sequenc
     base = shared.add(returns(panel, keys))
     keep = [*panel.columns, "ret", "market_return"]
     wide = base.select(*keep, F.inline(F.array(*each)) if len(each) > 1 else each[0].alias("_one"))
-    if len(each) == 1:
-        wide = wide.select(*keep, "_one.*")
+    return wide if len(each) > 1 else wide.select(*keep, "_one.*")
+
+
+def positions(panel: DataFrame, configs: Sequence[StrategyConfig], keys: Sequence[str] = frames.KEYS, components: bool = False) -> DataFrame:
+    """A row for each bar and configuration with exposure, position (lagged, guarded) and rates."""
     own = [*keys, CONFIG]
-    out = exposure.lagged(wide, own)
+    out = exposure.lagged(exposures(panel, configs, families.Shared(keys), components), own)
     if any(c.use_drawdown_guard for c in configs):
         out = exposure.guarded(out, own)
     return out.drop("guard_level")
 
 
+def earned(df: DataFrame) -> DataFrame:
+    """Gross, strategy, net and baseline returns of bars with positions and costs."""
+    out = df.withColumn("gross_return", F.col("position") * F.col("market_return"))
+    return out.withColumn("strategy_return", F.col("gross_return") - F.col("cost")).withColumn("net_return", F.col("strategy_return")).withColumn("baseline_return", F.col("market_return"))
+
+
 def priced(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Bars with costs, returns and equities; ``keys`` name the run that a bar belongs to."""
-    out = costs.decomposed(costs.turned(df, keys))
-    out = out.withColumn("gross_return", F.col("position") * F.col("market_return"))
-    out = out.withColumn("strategy_return", F.col("gross_return") - F.col("cost")).withColumn("net_return", F.col("strategy_return")).withColumn("baseline_return", F.col("market_return"))
+    out = earned(costs.decomposed(costs.turned(df, keys)))
     out = out.withColumns({f"{name}_equity": frames.compounded(F.col(f"{name}_return"), keys) for name in ("strategy", "gross", "baseline")})
     if "benchmark_close" in df.columns:
         known = F.last("benchmark_close", ignorenulls=True).over(frames.upto(keys))

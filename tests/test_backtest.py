@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -109,13 +111,13 @@ def test_guard_equals_the_loop(spark, seed, level):
     assert got.tolist() == want
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.lists(st.floats(-5, 5), min_size=1, max_size=60), st.sampled_from([0.1, 0.5, 0.8]))
-def test_running_quantile(values, q):
-    r = running.Running(q)
-    for i, v in enumerate(values):
-        assert r.add(v) == pytest.approx(np.quantile(values[: i + 1], q), abs=1e-12)
-
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.just(math.nan), st.floats(-5, 5), st.sampled_from([0.0, 1.0])), min_size=1, max_size=60), st.sampled_from([0.0, 0.1, 0.5, 0.8, 1.0]), st.integers(0, 5))
+def test_running_quantile(values, q, least):
+    got = running.expanding(np.array(values), q, least)
+    for i in range(len(values)):
+        seen = [x for x in values[: i + 1] if not math.isnan(x)]
+        assert math.isnan(got[i]) if len(seen) < max(least, 1) else got[i] == pytest.approx(np.quantile(seen, q), abs=1e-12)
 
 
 def test_sizing_and_caps(walk):
