@@ -6,8 +6,8 @@ its words (hashed) and eight numbers (length, share of links, place and the like
 blocks of a page in both directions, so each is classed with the whole page in view; the main ones, in page order, are
 the text.
 
-No labels of blocks are given, so they are made from the pages. A bounded sample (:data:`SAMPLE` pages of at most
-:data:`LONGEST` characters, the first by a hash of address and html) gives texts: blocks in an ``article`` or ``main``
+No labels of blocks are given, so they are made from the pages. A bounded sample (:data:`SAMPLE` different pages of at most
+:data:`LONGEST` characters, the first by a hash) gives texts: blocks in an ``article`` or ``main``
 element, outside of elements named as something else, are main. Each page of the sample is also laid out anew,
 :data:`LAYOUTS` times, in random layouts whose labels are known: its main blocks, a few cut short, in one of many usual containers,
 menus, headers, footers, sidebars, notices, adverts, forms and comments in theirs around and inside, some without any
@@ -507,9 +507,11 @@ def main_blocks(pages: Sequence[Sequence[Block]], paths: Paths, network: Network
 
 
 def _some(pages: DataFrame, sample: int) -> list[str]:
-    """Pages to learn from: those with an article or main element, the first by a hash."""
-    able = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.char_length("html") <= LONGEST))
-    return [r[0] for r in able.orderBy(F.xxhash64("url", "html"), "html").limit(sample).select("html").collect()]
+    """Different pages to learn from: those with an article or main element, the first by a hash. The hashes are chosen
+    first, so that tasks send no page but the chosen ones."""
+    able = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.char_length("html") <= LONGEST)).select(F.xxhash64("html").alias("at"), "html")
+    chosen = [r[0] for r in able.select("at").distinct().orderBy("at").limit(sample).collect()]
+    return [r[0] for r in able.filter(F.col("at").isin(chosen)).groupBy("at").agg(F.min("html").alias("html")).orderBy("at").select("html").collect()] if chosen else []
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE, block_chars: int = 1 << 22) -> DataFrame:
