@@ -3,9 +3,12 @@
 A run is a table of (line key hash, documents that hold it), bucketed and sorted by the hash. Documents come in
 batches. A new batch counts its own line keys, merge-anti-joins those that the runs already know as frequent
 (they need no more counting, as one run alone has enough documents), and is added as a run of level 0; a level with
-``fanout`` runs is compacted into one run of the next. Runs and batches share bucketing, so each anti-join reads
-sorted buckets side by side. At the end all runs are merged once, and the keys that enough documents hold lose their
-lines everywhere. Work on one text grows with its lines, but for a sort of their hashes.
+``fanout`` runs is compacted into one run of the next. Compaction and the merge at the end read sorted buckets
+side by side. A batch has a bounded number of lines, so its run is as large at any size of the corpus; there are four
+at least. At the end all runs are merged once, and the keys that enough documents hold lose their lines everywhere.
+
+Runs are tables of the session's catalog whose files lie below the shared folder; their names are known before
+they are written, and all of them go when the work ends or fails, wherever it does. Work on one text grows with its lines, but for a sort of their hashes.
 
 A line's key is the line without ASCII white space at its ends, with A-Z lower-cased. Keys are held as 128 bits.
 
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from siglab.llm import storage
 
 DOCUMENTS = 10
-BATCHES = 4
+#: Batches at least, and lines of a batch at most (16 bytes each, before they are counted).
+BATCHES, LINES_A_BATCH = 4, 1 << 31
 FANOUT = 2
 
 _SPACE = " \t\n\x0b\x0c\r"
@@ -53,21 +57,26 @@ def _distinct(hashes: str) -> Column:
 
 
 class Runs:
-    """Levels of bucketed, sorted runs (a, b, n) as tables of the session's catalog, which lives in the warehouse."""
+    """Levels of bucketed, sorted runs (a, b, n), as tables whose files lie below the shared folder."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.name = f"siglab_runs_{uuid.uuid4().hex[:16]}"
-        self.made = 0
+        self.made: dict[str, str] = {}
 
     def _write(self, counts: DataFrame) -> str:
-        self.made += 1
-        table = f"{self.name}_{self.made}"
-        counts.write.format("parquet").bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(table)
+        table = f"{self.name}_{len(self.made)}"
+        self.made[table] = storage.new_path(self.spark, table)
+        counts.write.format("parquet").option("path", self.made[table]).bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(table)
         return table
 
+    def _drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        storage.delete(self.spark, self.made[table])
+        self.made[table] = ""
+
     def _all(self, tables: list[str]) -> DataFrame:
         out = self.spark.table(tables[0])
         for table in tables[1:]:
@@ -81,28 +90,30 @@ class Runs:
     def add(self, keys: DataFrame, least: int) -> None:
         """A batch's (a, b), a row for each document and key, joins the runs."""
         counts = keys.groupBy("a", "b").agg(F.count("*").alias("n"))
+        known = None
         for table in [x for level in self.levels for x in level]:
-            counts = counts.join(self.spark.table(table).filter(F.col("n") >= least).select("a", "b"), ["a", "b"], "left_anti")
-        self._push(self._write(counts), 0)
+            own = self.spark.table(table).filter(F.col("n") >= least).select("a", "b")
+            known = own if known is None else known.union(own)
+        self._push(self._write(counts if known is None else counts.join(known, ["a", "b"], "left_anti")), 0)
 
     def _push(self, table: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(table)
         if len(self.levels[level]) >= self.fanout:
+            merged = self._write(self._all(self.levels[level]))
             full, self.levels[level] = self.levels[level], []
-            merged = self._write(self._all(full))
             for old in full:
-                self.spark.sql(f"DROP TABLE {old}")
+                self._drop(old)
             self._push(merged, level + 1)
 
     def close(self) -> None:
-        for table in [x for level in self.levels for x in level]:
-            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for table in [x for x, path in self.made.items() if path]:
+            self._drop(table)
         self.levels = []
 
 
-def drop_frequent(docs: DataFrame, documents: int = DOCUMENTS, least_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def drop_frequent(docs: DataFrame, documents: int = DOCUMENTS, least_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT, lines_a_batch: int = LINES_A_BATCH) -> DataFrame:
     """``docs`` with ``text`` (never null), ``line_runs_n_lines``, ``line_runs_n_dropped``: lines whose key at
     least ``documents`` rows hold are gone."""
     spark = docs.sparkSession
@@ -110,12 +121,15 @@ def drop_frequent(docs: DataFrame, documents: int = DOCUMENTS, least_chars: int
     named = docs.withColumn("text", text).withColumn("line_runs_key", F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.octet_length("text").alias("n")))
     lines = F.transform(F.split("text", "\n", -1), lambda x: key_hash(line_key(x), least_chars))
     with storage.Scratch(spark) as scratch:
-        keyed = scratch.keep(storage.spread(named.select("line_runs_key", "text")).select("line_runs_key", lines.alias("lines"), F.pmod(F.xxhash64("line_runs_key"), F.lit(batches)).alias("batch")), "line-keys")
+        keyed = scratch.keep(storage.spread(named.select("line_runs_key", "text")).select("line_runs_key", lines.alias("lines")), "line-keys")
+        count = keyed.agg(F.sum(F.size("lines").cast("long"))).first()[0] or 0
+        batches = max(batches, -(-count // lines_a_batch))
+        batch = F.pmod(F.xxhash64("line_runs_key"), F.lit(batches))
         runs = Runs(spark, fanout)
         try:
             for k in range(batches):
                 with storage.shuffles_let_go(spark):
-                    runs.add(keyed.filter(F.col("batch") == k).select(F.explode(_distinct("lines")).alias("x")).select("x.a", "x.b"), documents)
+                    runs.add(keyed.filter(batch == k).select(F.explode(_distinct("lines")).alias("x")).select("x.a", "x.b"), documents)
             frequent = scratch.keep(runs.frequent(documents), "frequent-lines")
         finally:
             runs.close()

@@ -63,19 +63,24 @@ def shuffles_let_go(spark: SparkSession) -> AbstractContextManager[None]:
     return _set(spark, _CLEAN)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """Where nothing is yet, below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/siglab/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siglab/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     try:
         with shuffles_let_go(spark):
             df.write.option("compression", "zstd").parquet(path)
     except BaseException:
-        _delete(spark, path)
+        delete(spark, path)
         raise
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -107,7 +112,7 @@ class Scratch:
         gone = [path for df, path in self.held if any(df is x for x in tables)]
         self.held = [x for x in self.held if x[1] not in gone]
         for path in gone:
-            _delete(self.spark, path)
+            delete(self.spark, path)
 
     def __enter__(self) -> Scratch:
         return self
@@ -126,7 +131,7 @@ def release(since: int = 0) -> None:
     while len(_WRITTEN) > since:
         spark, path = _WRITTEN.pop()
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may already have ended
             continue
 
