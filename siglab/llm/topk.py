@@ -11,8 +11,9 @@ Nulls, ties, repeats: vectors that are null or hold a null or non-finite compone
 candidate; nor do rows with a null id. Equal scores go to the smaller id. Rows are told apart by a row number, not by
 their id: a query's candidates are all rows but itself, so an id that repeats can be a result more than once, and
 be a result of the other rows of that id; each row of a repeated query id has results (ranks from 1) of its own.
-Vectors of differing lengths count as zero beyond their end. Scores are exact while they fit in 64 bits. An empty
-table gives an empty result. Extra columns are ignored.
+Vectors of differing lengths count as zero beyond their end. Scores are exact: where components are so large that
+64 bits may not hold a sum, blocks are scored in whole numbers of any length, and a result that a long can't
+hold raises OverflowError. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,9 +70,13 @@ class Tile:
         self.best += [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(rows)
 
     def meet(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """A block of candidates."""
-        lists = postings(vectors)
+        """A block of candidates. Vectors hold whole numbers as doubles; sums that 64 bits hold surely are made in those."""
+        most = max((float(np.abs(q).max(initial=0)) for q in self.vectors), default=0.0) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
+        if not most < 2.0**62:
+            return self._meet_large(rows, ids, vectors)
+        lists = postings(vectors.astype(np.int64))
         for i, (own, query) in enumerate(zip(self.rows, self.vectors)):
+            query = query.astype(np.int64)
             scores = np.zeros(len(rows), np.int64)
             for term in np.flatnonzero(query[: len(lists)]):
                 at, weight = lists[term]
@@ -82,6 +87,20 @@ class Tile:
             top = best(score, name, self.k)
             self.best[i] = score[top], name[top]
 
+    def _meet_large(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        lists = [(at, [int(x) for x in weight]) for at, weight in postings(vectors)]
+        for i, (own, query) in enumerate(zip(self.rows, self.vectors)):
+            scores = [0] * len(rows)
+            for term in np.flatnonzero(query[: len(lists)]).tolist():
+                weight = int(query[term])
+                for at, x in zip(lists[term][0].tolist(), lists[term][1]):
+                    scores[at] += weight * x
+            so_far = list(zip(self.best[i][0].tolist(), self.best[i][1].tolist()))
+            top = sorted([*so_far, *((x, name) for x, name, row in zip(scores, ids.tolist(), rows.tolist()) if row != own)], key=lambda x: (-x[0], x[1]))[: self.k]
+            if any(abs(x) >= 1 << 63 for x, _ in top):
+                raise OverflowError("A result's inner product doesn't fit in 64 bits.")
+            self.best[i] = np.array([x for x, _ in top], np.int64), np.array([x for _, x in top], np.int64)
+
     def results(self) -> pa.RecordBatch:
         n = [len(x) for x, _ in self.best]
         flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]))
@@ -98,7 +117,7 @@ def _blocks(rows: DataFrame, size: int, n: int, salt: int) -> tuple[DataFrame, i
 
         def packed() -> pa.RecordBatch:
             wide = max(len(v) for *_, v in held)
-            data = np.zeros((len(held), wide), np.int64)
+            data = np.zeros((len(held), wide))
             for i, (*_, v) in enumerate(held):
                 data[i, : len(v)] = v
             told = [np.array([x[k] for x in held], np.int64).tobytes() for k in range(2)]
@@ -125,8 +144,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = 64.0
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), is_query.alias("asks"))
     sound = whole.filter("vec_id is not null and e is not null").filter(~F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     spark = vectors.sparkSession
+
+    def _floor(x: Column) -> Column:
+        y = x * scale  # from 2^53 on, doubles are whole
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+
     with storage.Scratch(spark) as scratch:
-        usable = scratch.keep(sound.select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("long")).alias("v"), "asks").withColumn("row", F.monotonically_increasing_id()), "vectors")
+        usable = scratch.keep(sound.select("vec_id", F.transform("e", _floor).alias("v"), "asks").withColumn("row", F.monotonically_increasing_id()), "vectors")
         n, asked = usable.agg(F.count("*"), F.count_if("asks")).first()
         there, across = _blocks(usable.select("row", "vec_id", "v"), rows_a_block, n, 1)
         asks, down = _blocks(usable.filter("asks").select("row", "vec_id", "v"), queries_a_block, asked, 2)
@@ -146,7 +170,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = 64.0
                         if held.rows:
                             yield held.results()
                         at, held = number, Tile(k)
-                    block = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, dims)
+                    block = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dims)
                     (held.meet if side else held.ask)(*block)
             if held.rows:
                 yield held.results()

@@ -294,6 +294,29 @@ def test_poisson_law_and_mixture(spark, docs):
     assert mixing.mix(table.filter("false")).count() == 0
 
 
+def test_a_large_rate_is_planned_at_once_and_drawn_right(spark, docs):
+    """One row stands for about 100,000 copies: the plan holds a number for its source, and rates are told as they are."""
+    table = docs([(1, "t", "rare")] + [(i, "t", "common") for i in range(2, 2002)])
+    began = time.perf_counter()
+    got = mixing.mix(table, {"rare": 1, "common": 1}, total=200_000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert time.perf_counter() - began < 20 and len(plan) < 200_000
+    by = {r.source: r for r in got.groupBy("source").agg(F.count("*").alias("n"), F.max("rate_").alias("rate"), F.countDistinct("copy_", "doc_id").alias("named"), F.max("repeats_").alias("most")).collect()}
+    assert by["rare"].rate == 100_000 and by["common"].rate == 50 and all(r.n == r.named for r in by.values())
+    assert abs(by["rare"].n - 100_000) < 6 * math.sqrt(100_000) and by["rare"].most == by["rare"].n
+    law = np.cumsum(np.exp(np.arange(130_000) * math.log(100_000) - 100_000 - np.array([math.lgamma(k + 1) for k in range(130_000)])))
+    assert abs(by["rare"].n - np.searchsorted(law, drawn(1, "rare", "t"), side="right")) <= 1
+
+
+@pytest.mark.parametrize("mean", [1e-9, 0.3, 1.0, 12.5, 699.9, 700.0, 2500.0])
+def test_counts_invert_the_law(spark, mean):
+    law = mixing.law(mean)
+    at = sorted({0.0, 1e-12, 0.2, 0.5, 0.9, 0.999, 1 - 1e-9, 1 - 2**-52, *(c * (1 + d) for c in law[:: max(1, len(law) // 20)] for d in (-1e-9, 1e-9) if c * (1 + d) < 1 - 1e-9)})
+    frame = spark.createDataFrame([(u, mean) for u in at], "u double, m double")
+    got = {r.u: r.n for r in frame.select("u", mixing.count(F.col("u"), F.col("m")).alias("n")).collect()}
+    assert all(got[u] == sum(c <= u for c in law) for u in at if u < 1 - 1e-8) and max(got.values()) < mean + 9 * math.sqrt(mean) + 22
+
+
 def test_mixing_of_more_sources_than_are_listed(spark, docs):
     rows = [(i, "t", f"d{i % (mixing.LISTED + 300)}") for i in range(3 * mixing.LISTED)] + [(-i, "t", "hot") for i in range(1, 3001)] + [(10**6, "t", None), (None, "t", "hot")]
     table = docs(rows)
@@ -637,6 +660,19 @@ def test_topk_with_repeated_ids(spark):
 # Awkward tables
 
 
+def test_topk_of_very_large_components(spark):
+    """Where 64 bits may not hold a sum, whole numbers of any length do; only a result that a long can't hold raises."""
+    vectors = [(0, [2.0**40, 1.5]), (1, [2.0**16, -3.0]), (2, [-(2.0**40), 0.0]), (3, [0.0, 2.0**40]), (4, [1.0, 1.0]), (5, [2.0**10, 2.0**9])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = topk.search(frame, F.col("vec_id").isin(4, 5), k=3).collect()
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in vectors}
+    for q in (4, 5):
+        score = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:3]
+    with pytest.raises(Exception, match="64 bits|infinity"):
+        topk.search(spark.createDataFrame([(1, [1e300]), (2, [1e300])], "vec_id long, embedding array<double>"), F.lit(True)).collect()
+
+
 def test_very_many_matches_and_lines_in_one_text(spark, docs):
     """100,000 matches, and 100,000 lines that ten documents share: seconds, as work grows with the length."""
     hexes = " ".join(f"{i:016x}" for i in range(100_000))
@@ -653,11 +689,37 @@ def test_very_many_matches_and_lines_in_one_text(spark, docs):
     assert time.perf_counter() - began < 90
 
 
-def test_runs_are_dropped_when_a_batch_fails(spark, docs, monkeypatch):
-    monkeypatch.setattr(line_runs.Runs, "frequent", lambda *_: 1 / 0)
+@pytest.mark.parametrize("at", [*range(1, 7), "frequent"])
+def test_nothing_is_left_of_runs_when_work_fails(spark, docs, monkeypatch, at):
+    """Failing in the write of any batch or compaction (before it, or with the table half made) leaves no table and no file."""
+    write, calls = line_runs.Runs._write, []
+
+    def failing(self, counts):
+        calls.append(1)
+        if len(calls) == at:
+            if at % 2:
+                write(self, counts)
+            raise ZeroDivisionError
+        return write(self, counts)
+
+    monkeypatch.setattr(line_runs.Runs, "_write", failing)
+    if at == "frequent":
+        monkeypatch.setattr(line_runs.Runs, "frequent", lambda *_: 1 / 0)
     with pytest.raises(ZeroDivisionError):
-        line_runs.drop_frequent(docs([(i, "x") for i in range(12)]))
+        line_runs.drop_frequent(docs([(i, f"x\ny{i}") for i in range(40)]))
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("siglab_runs")]
+    assert not list(Path(storage.shared_dir(spark).removeprefix("file:")).rglob("siglab_runs_*"))
+
+
+def test_batches_are_bounded_by_lines(spark, docs, monkeypatch):
+    batches = []
+    add = line_runs.Runs.add
+    monkeypatch.setattr(line_runs.Runs, "add", lambda self, keys, least: batches.append(1) or add(self, keys, least))
+    table = docs([(i, f"shared\nown {i}\nown too {i}") for i in range(60)])
+    want = {r.doc_id: r.text for r in line_runs.drop_frequent(table).collect()}
+    assert len(batches) == line_runs.BATCHES and want[7] == "own 7\nown too 7"
+    assert {r.doc_id: r.text for r in line_runs.drop_frequent(table, lines_a_batch=25).collect()} == want
+    assert len(batches) == line_runs.BATCHES + 8
 
 
 @pytest.mark.parametrize("name", ["fingerprint", "packing", "toxicity", "mixing", "sharding", "quality", "near", "near_fingerprint", "dedup", "secrets", "lines"])
@@ -675,7 +737,32 @@ def test_awkward_tables(spark, awkward, name, empty):
         assert len(run) == 0
     elif name == "dedup":
         assert sorted(run.doc_id.dropna()) == [1, 3, 4, 6] and run.doc_id.isna().sum() == 1
-    elif name != "mixing":
+    elif name == "mixing":
+        # Each row as often as its own law and draw say, with every column as it was.
+        want = Counter()
+        for r in table.collect():
+            rate = run[run.source.eq(r.source) if r.source is not None else run.source.isna()].rate_
+            want[r.doc_id, r.text] += sum(c <= drawn(r.doc_id, r.source, r.text) for c in mixing.law(rate.iloc[0])) if len(rate) else 0
+        assert Counter((None if pd.isna(d) else int(d), t) for d, t in zip(run.doc_id, run.text)) == +want and (run.spans == "x").all()
+    else:
         assert len(run) == 10
+    if empty:
+        return
+    texts = {(r.doc_id, r.text) for r in table.collect()}
+    if name == "lines":
+        # Lines of "a b c" and of the empty text are held by two rows or more; a line without characters always stays.
+        kept = {(None if pd.isna(d) else int(d)): t for d, t in zip(run.doc_id, run.text)}
+        assert kept[3] == "" and kept[2] == "" and kept[1] == "" and kept[5] == " \n \n" and kept[None] == "x y z" and kept[6] == "password = abcdefghijkl1" and (4, kept[4]) in texts
+    if name == "secrets":
+        assert run[run.doc_id == 6].n_assign.tolist() == [1] and run[run.doc_id != 6].n_assign.sum() == 0 and run[run.doc_id == 6].spans.tolist() == ["assign:0:24"]
+    if name == "sharding":
+        sizes = {d: sorted(len((t or "").encode()) + 1 for e, t in [(r.doc_id, r.text) for r in table.collect()] if e == d) for d in (1, 2, 3, 4, 5, 6, 7)}
+        assert all(sorted(run[run.doc_id == d]["size"]) == n for d, n in sizes.items()) and run["shard"].value_counts().max() - run["shard"].value_counts().reindex(range(8), fill_value=0).min() <= 1
+    if name in ("near", "near_fingerprint"):
+        by = run.groupby("doc_id", dropna=False).class_id.nunique(dropna=False)
+        assert (by == 1).all() and run[run.doc_id == 3].class_id.nunique() == 1
+    if name in ("quality", "toxicity"):
+        same = run[run.doc_id.isin([2, 3])].groupby("doc_id")[[c for c in run.columns if c.startswith(("p_", "score"))]].nunique()
+        assert (same == 1).all(axis=None)
     if name == "near" and not empty:
         assert run[run.doc_id.isin([2, 5, 7])].class_id.tolist() == [1] * 4
