@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siglab.catalogue import twins as T
-from siglab.config import IDENTITY, StrategyConfig, candidates, check_windows, grid
-from siglab.errors import ValidationError
+from siglab.config import IDENTITY, StrategyConfig, candidates, grid
 from siglab.functions import frames
 from siglab.operators import attribution, costs, families, features, robustness, scorecard, views
 from siglab.plans import chunked, engine, sweep
-from siglab.sources import files, gates, walks
+from siglab.sources import files, gates, rejects, walks
 from siglab.streaming import bars as streaming
+from siglab.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TWINS: dict[str, str] = {}
@@ -27,6 +27,8 @@ RUN = ("series_id", "config_id")
 BASE = StrategyConfig()
 SHORTS, LONGS = (5, 10, 20, 30), (40, 60, 90, 120)
 GUARDED = StrategyConfig(signal_family="momentum", momentum_window=20, use_drawdown_guard=True, drawdown_guard_level=0.05)
+#: The strategy of the events' bars, in batch and as a stream.
+STREAMED = StrategyConfig(signal_family="composite", sizing_method="volatility_target", max_exposure=1.5, use_drawdown_guard=True, drawdown_guard_level=0.10, fee=0.0005, spread=0.0002)
 COSTED = StrategyConfig(signal_family="mean_reversion", zscore_window=40, fee=0.001, spread=0.0005, slippage=0.0005)
 SIGNALS = {
     "sig_trend": BASE,
@@ -151,9 +153,11 @@ def expanding_vol_threshold(spark, sf_dir):
     return shared.add(engine.returns(panel(spark, sf_dir))).select("series_id", "ts", column.alias("threshold"))
 
 
-@query("SELECT d::date AS ts FROM range(DATE '2021-01-01', DATE '2023-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6", plain=True)
+@query("""d AS (SELECT o_orderdate::date AS ts, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL), span AS (SELECT min(ts) AS a, max(ts) AS b FROM d),
+every AS (SELECT unnest(generate_series(a::timestamp, b::timestamp, INTERVAL 1 DAY))::date AS ts FROM span)
+SELECT every.ts, coalesce(n, 0)::bigint AS n_rows FROM every LEFT JOIN d USING (ts) WHERE isodow(every.ts) < 6""", plain=True)
 def bdays(spark, sf_dir):
-    return walks.business_days(spark, "2021-01-01", "2023-12-30")
+    return walks.calendar(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderdate")
 
 
 # Gates
@@ -215,19 +219,40 @@ def loaded_panel(spark, sf_dir):
     return files.from_parquet(spark, f"{sf_dir}/orders.parquet", "o_orderdate", "o_totalprice", "o_orderkey")
 
 
-_PAIRS = [(a, b) for a in (-5, 0, 20, 60) for b in (0, 20, 40, 60, 120)]
+#: Lines of text made of ``orders``, some of them spoilt: a field missing or too many, no customer, a day or a price that is none, a price of no worth.
+_LINE = {
+    "spark": "CASE WHEN o_orderkey % 97 = 1 THEN concat_ws(',', o_custkey, o_totalprice) WHEN o_orderkey % 89 = 2 THEN concat_ws(',', o_custkey, d, o_totalprice, 'more') WHEN o_orderkey % 83 = 3 THEN concat_ws(',', '', d, o_totalprice)"
+    " WHEN o_orderkey % 79 = 4 THEN concat_ws(',', o_custkey, 'someday', o_totalprice) WHEN o_orderkey % 73 = 5 THEN concat_ws(',', o_custkey, d, 'n/a') WHEN o_orderkey % 71 = 6 THEN concat_ws(',', o_custkey, d, -o_totalprice) ELSE concat_ws(',', o_custkey, d, o_totalprice) END",
+}
+_LINES_SQL = f"""src AS (SELECT o_orderkey, o_custkey::varchar AS o_custkey, round(o_totalprice)::bigint AS o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders), l AS (SELECT {_LINE['spark']} AS line FROM src),
+f AS (SELECT line, string_split(line, ',') AS x FROM l), v AS (SELECT line, len(x) AS n, x[1] AS s, try_cast(x[2] AS timestamp) AS ts, try_cast(x[3] AS double) AS c FROM f),
+j AS (SELECT *, CASE WHEN n <> 3 THEN 'fields' WHEN s = '' THEN 'series' WHEN ts IS NULL THEN 'date' WHEN c IS NULL THEN 'close missing' WHEN c <= 0 THEN 'close not positive' END AS why FROM v),
+k AS (SELECT *, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY s, ts, why ORDER BY line) > 1 THEN 'repeated' ELSE why END AS reason FROM j)"""
 
 
-@query(f"""SELECT a AS short_window, b AS long_window, CASE WHEN a <= 0 OR b <= 0 THEN 'Windows must be positive.' WHEN a >= b THEN 'short_window must be strictly smaller than long_window.' END AS said
-FROM (VALUES {', '.join(f'({a}, {b})' for a, b in _PAIRS)}) t(a, b)""", plain=True)
-def window_checks(spark, sf_dir):
-    def said(a: int, b: int) -> str | None:
-        try:
-            check_windows(a, b)
-        except ValidationError as e:
-            return str(e)
+def _sorted_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    src = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.round("o_totalprice").cast("long").alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    return rejects.sorted_out(src.select(F.expr(_LINE["spark"]).alias("line")))
+
+
+@query(f"{_LINES_SQL} SELECT s AS series_id, ts, c AS close FROM k WHERE reason IS NULL", plain=True)
+def csv_panel(spark, sf_dir):
+    return rejects.panel(_sorted_out(spark, sf_dir))
+
+
+@query(f"{_LINES_SQL} SELECT line, reason FROM k WHERE reason IS NOT NULL", plain=True)
+def csv_rejects(spark, sf_dir):
+    return rejects.rejected(_sorted_out(spark, sf_dir))
+
+
+_PAIRS = [(a, b) for a in (-5, 0, 20, 60) for b in (0, 20, 40, 60, 120, 2440)]
+
 
-    return spark.createDataFrame([(a, b, said(a, b)) for a, b in _PAIRS], "short_window int, long_window int, said string")
+@query(f"""{T.PANEL}, n AS (SELECT series_id, count(*) AS n_rows FROM panel GROUP BY ALL)
+SELECT series_id, a AS short_window, b AS long_window, n_rows, CASE WHEN least(a, b) < 1 THEN 'not positive' WHEN a >= b THEN 'not less' WHEN n_rows < b + 2 THEN 'too short' ELSE 'usable' END AS verdict
+FROM n, (VALUES {', '.join(f'({a}, {b})' for a, b in _PAIRS)}) t(a, b)""", plain=True)
+def window_checks(spark, sf_dir):
+    return gates.window_checks(panel(spark, sf_dir), _PAIRS)
 
 
 # Signals and exposure
@@ -515,6 +540,26 @@ def event_bars(spark, sf_dir):
     return streaming.bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+@query(f"""m AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER u <= INTERVAL {sessions.GAP} SECOND THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT user_id, min(ts) AS began, max(ts) + INTERVAL {sessions.GAP} SECOND AS ended, count(*) AS n, {T.r('sum(value)', 'total')} FROM i GROUP BY user_id, island""")
+def event_sessions(spark, sf_dir):
+    return sessions.sessions(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+@query(f"{T.EVENT_PANEL}, {T.bars([STREAMED])} SELECT series_id, config_id, ts, {_BARS_SQL} FROM bars")
+def event_backtest(spark, sf_dir):
+    return engine.bars(walks.event_panel(spark.read.parquet(f"{sf_dir}/events.parquet")), STREAMED, components=False).select("series_id", "config_id", "ts", *_BARS)
+
+
+def bootstrap_seeded_summary(spark, sf_dir):
+    """The paths of one seeded generator can't be put in SQL; a test holds them against the generator itself."""
+    return rounded(robustness.bootstrap_summary(robustness.seeded_paths(_bars(spark, sf_dir, _REVERSION), SIMULATIONS)))
+
+
+QUERIES["bootstrap_seeded_summary"] = bootstrap_seeded_summary
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidate strategies over the panel, best first."""
     return QUERIES["config_sweep"](spark, sf_dir)

@@ -15,6 +15,8 @@ panel AS (SELECT series_id, ts, 100 * exp(sum(0.0002 + 0.012 * z) OVER (PARTITIO
 
 ORDERS = PANEL.replace("l_returnflag || l_linestatus", "o_orderpriority").replace("l_shipdate", "o_orderdate").replace("l_extendedprice", "o_totalprice").replace("FROM lineitem", "FROM orders")
 
+EVENT_PANEL = PANEL.replace("l_returnflag || l_linestatus", "event_type").replace("l_shipdate::date", "time_bucket(INTERVAL 1 HOUR, ts)").replace("l_extendedprice", "value").replace("FROM lineitem", "FROM events")
+
 BENCHMARKED = PANEL.replace("panel AS", "alone AS") + """,
 aday AS (SELECT l_shipdate::date AS ts, avg(l_extendedprice) AS x FROM lineitem GROUP BY ALL),
 ashock AS (SELECT ts, (x - avg(x) OVER ()) / nullif(stddev_pop(x) OVER (), 0) AS z FROM aday),

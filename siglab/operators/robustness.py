@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +76,73 @@ def bootstrap_seeded(returns: Sequence[float], simulations: int = 1000, seed: in
     }
 
 
+#: Numbers of the generator that one task counts.
+NUMBERS_A_BLOCK = 1 << 20
+_WORD = np.uint64(0xFFFFFFFF)
+
+
+def _numbers(seed: int, begin: int, count: int) -> np.ndarray:
+    """The 32-bit numbers begin, begin + 1, ... of a seeded PCG64, reached by a jump: it makes two at a time, the lower half first."""
+    bits = np.random.PCG64(seed)
+    bits.advance(begin // 2)
+    pairs = bits.random_raw(count // 2 + 1)
+    return np.stack([pairs & _WORD, pairs >> np.uint64(32)], axis=1).ravel()[begin % 2 :][:count]
+
+
+def _taken(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers below n by multiplication, and which of the numbers give one: few are rejected, so that rows are equally likely."""
+    product = numbers * np.uint64(n)
+    return (product >> np.uint64(32)).astype(np.int64), (product & _WORD) >= np.uint64((2**32 - n) % n)
+
+
+def seeded_paths(bars: DataFrame, simulations: int = 1000, seed: int = 123, keys: Sequence[str] = frames.KEYS) -> DataFrame:
+    """keys, sim_id, total_return, max_drawdown: the paths of :func:`bootstrap_seeded`, number by number, dealt to tasks.
+
+    A path begins where the generator stands after all earlier paths: at their number of draws, plus those that were
+    rejected. So rejections are counted first, block by block of the generator's numbers, for each length of a run; then
+    a lot of paths jumps to its block and goes on from there.
+    """
+    keys = list(keys)
+    told = F.transform(F.sort_array(F.collect_list(F.struct("ts", "strategy_return"))), lambda x: x["strategy_return"])
+    own = bars.filter("strategy_return is not null").groupBy(*keys).agg(told.alias("r_")).withColumn("n_", F.size("r_").cast("long"))
+    # Rejections are at most n in 2^32; a share of 1 in 1,000 and one block more is beyond what any run of this length sees.
+    blocks = F.ceil(F.col("n_") * simulations * 1.001 / NUMBERS_A_BLOCK) + 1
+    asked = own.select("n_").distinct().select("n_", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+
+    def count(batches):
+        for batch in batches:
+            n, block = (x.to_pylist() for x in batch.columns)
+            kept = [int(_taken(_numbers(seed, b * NUMBERS_A_BLOCK, NUMBERS_A_BLOCK), m)[1].sum()) for m, b in zip(n, block)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.int64())], ["m_", "block", "kept"])
+
+    counted = asked.repartition("n_", "block").mapInArrow(count, "m_ long, block long, kept long")
+    kept = counted.groupBy("m_").agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "kept"))), lambda x: x["kept"]).alias("kept_"))
+    lots = own.join(kept, F.col("n_") == F.col("m_")).select(*keys, "r_", "kept_", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1), F.lit(PATHS_A_LOT))).alias("lot_"))
+    kinds = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keys)
+
+    def draw_paths(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                r, kept, lot = np.array(batch.column(len(keys))[i].as_py(), float), np.cumsum([0, *batch.column(len(keys) + 1)[i].as_py()]), batch.column(len(keys) + 2)[i].as_py()
+                n, many = len(r), min(PATHS_A_LOT, simulations - lot)
+                begin = lot * n
+                block = int(np.searchsorted(kept, begin, side="right")) - 1
+                at, left, total, worst = block * NUMBERS_A_BLOCK, np.zeros(0, np.int64), [], []
+                skip = begin - kept[block]
+                for _ in range(many):
+                    while len(left) < n + skip:
+                        rows, good = _taken(_numbers(seed, at, NUMBERS_A_BLOCK), n)
+                        left, at = np.concatenate([left, rows[good]]), at + NUMBERS_A_BLOCK
+                    left, skip = left[skip:], 0
+                    path = np.cumprod(1 + r[left[:n]])
+                    left = left[n:]
+                    total.append(path[-1] - 1)
+                    worst.append((path / np.maximum.accumulate(path) - 1).min())
+                yield pa.RecordBatch.from_arrays([*(pa.array([batch.column(k)[i].as_py()] * many, batch.column(k).type) for k in range(len(keys))), pa.array(range(lot, lot + many), pa.int32()), pa.array(total), pa.array(worst)], [*keys, "sim_id", "total_return", "max_drawdown"])
+
+    return lots.repartition(*keys, "lot_").mapInArrow(draw_paths, f"{kinds}, sim_id int, total_return double, max_drawdown double")
+
+
 def overfit_gap(by_segment: DataFrame, keys: Sequence[str]) -> DataFrame:
     """From figures with ``segment``: both Sharpe ratios, their gap, and whether a good one turned bad."""
     at = lambda x: F.max(F.when(F.col("segment") == x, F.col("sharpe_ratio")))

@@ -6,6 +6,7 @@ Tables that reach the driver here are scorecards, folds, regimes, rungs and one
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -96,6 +97,15 @@ def histogram(title: str, values: Sequence[float], marks: Sequence[float] = (),
     return columns(title + ("" if not len(marks) else f" (marks: {', '.join(f'{m:.3f}' for m in marks)})"), [f"{e:.3f}" for e in edges[:-1]], counts.tolist())
 
 
+def stack(title: str, pictures: Sequence[str]) -> str:
+    """Several pictures below one another, as one."""
+    body, at = "", 0
+    for picture in pictures:
+        high = int(re.search(r'height="(\d+)"', picture)[1])
+        body, at = body + picture.replace("<svg ", f'<svg y="{at}" ', 1), at + high
+    return f'<svg viewBox="0 0 640 {at}" width="640" height="{at}" role="img"><title>{html.escape(title)}</title>{body}</svg>'
+
+
 def charts(r: dict) -> dict[str, str]:
     """Each chart of a result (see :func:`siglab.plans.workflow.run_pipeline`) by name."""
     bars, sweep = r["signals"], r["sweep"]
@@ -107,15 +117,17 @@ def charts(r: dict) -> dict[str, str]:
     mc, ladder, out = r["monte_carlo"], r["cost_sensitivity"], {}
     out["equity_curve"] = lines("Cumulative return, %", {"Strategy": ((eq - 1) * 100).tolist(), "Baseline": ((bars["baseline_equity"] - 1) * 100).tolist()})
     out["drawdown"] = lines(f"Drawdown, % (trough {drawdown.min():.1f} on {bars['ts'].iloc[int(drawdown.to_numpy().argmin())]})", {"Drawdown": drawdown.tolist()})
-    out["scenario_comparison"] = columns("Sharpe ratio, six best", sweep["label"].head(6).tolist(), sweep["sharpe_ratio"].head(6).tolist())
+    best = sweep.head(6)
+    out["scenario_comparison"] = stack("Six best scenarios", [columns(f"{said}, six best", best["label"].tolist(), best[c].tolist()) for said, c in (("Total return", "total_return"), ("Sharpe ratio", "sharpe_ratio"), ("Maximal drawdown", "max_drawdown"))])
     if r.get("heatmap") is not None:
         out["sweep_heatmap"] = cells("Sharpe ratio by windows", r["heatmap"])
-    out["return_distribution"] = histogram("Returns in the market", net[bars["position"] > 0].tolist())
+    out["return_distribution"] = stack("Distribution of returns", [histogram("Returns, all days", net.tolist()), histogram("Returns in the market", net[bars["position"] > 0].tolist())])
     out["kpi_dashboard"] = columns("Key figures", [k for k, _, _ in SCORECARD[:6]], [r["full_kpis"][k] for k, _, _ in SCORECARD[:6]])
     walk = r["walk_forward"]
     if walk is not None and len(walk):
         out["walk_forward"] = columns(f"Test Sharpe ratio by fold ({(walk['test_sharpe'] > 0).mean():.0%} positive)", walk["fold"].tolist(), walk["test_sharpe"].tolist())
-    out["monte_carlo"] = histogram("Bootstrap total return", list(mc["total_returns"]), [mc["p5_total_return"], mc["median_total_return"], mc["p95_total_return"]])
+    paths = [histogram("Bootstrap total return", list(mc["total_returns"]), [mc["p5_total_return"], mc["median_total_return"], mc["p95_total_return"]]), histogram("Bootstrap maximal drawdown", list(mc["max_drawdowns"]), [mc["p5_max_drawdown"], mc["median_max_drawdown"]])]
+    out["monte_carlo"] = stack("Bootstrap", paths)
     out["regime_heatmap"] = cells("Regimes, scaled by column", scaled)
     out["cost_sensitivity"] = columns("Return by cost", [f"{x:.2%}" for x in ladder["cost"]], ladder["total_return"].tolist())
     return out

@@ -18,6 +18,21 @@ def business_days(spark: SparkSession, first: str, last: str) -> DataFrame:
     return days.filter(F.weekday("ts") < 5)
 
 
+def calendar(rows: DataFrame, date: str) -> DataFrame:
+    """ts and n_rows: every day from Monday to Friday between the first and the last day of ``rows``, with the rows that
+    fall on it, 0 where none does."""
+    days = rows.select(F.col(date).cast("date").alias("ts")).filter("ts is not null").groupBy("ts").agg(F.count("*").alias("n_rows"))
+    span = days.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).filter("a is not null")
+    every = span.select(F.explode(F.expr("sequence(a, b, interval 1 day)")).alias("ts")).filter(F.weekday("ts") < 5)
+    return every.join(days, "ts", "left").select("ts", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"))
+
+
+def event_panel(events: DataFrame, hours: int = 1) -> DataFrame:
+    """A series of hours for each type of event, from average values."""
+    x = events.groupBy(F.col("event_type").alias("series_id"), F.window("ts", f"{hours} hours")["start"].alias("ts")).agg(F.avg("value").alias("x"))
+    return from_values(x)
+
+
 def seeded(spark: SparkSession, n_days: int = 750, seed: int = 42, start_value: float = START, drift: float = DRIFT, volatility: float = VOLATILITY, start_date: str = "2021-01-01", series_id: str = "synthetic") -> DataFrame:
     """A reproducible series of ``n_days`` business days; the same seed gives the same numbers everywhere."""
     if n_days <= 0:

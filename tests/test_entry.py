@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 def test_every_core_query_has_a_twin():
     from siglab.catalogue import queries
 
-    assert set(queries.QUERIES) == set(queries.TWINS) and set(queries.QUERIES) <= set(entry.queries())
+    # A seeded generator's numbers can't be put in SQL; its query is held against the generator in a test.
+    assert set(queries.QUERIES) - {"bootstrap_seeded_summary"} == set(queries.TWINS) and set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
