@@ -15,7 +15,7 @@ from siglab.catalogue import twins as T
 from siglab.config import IDENTITY, StrategyConfig, candidates, grid
 from siglab.functions import frames
 from siglab.operators import attribution, costs, families, features, robustness, scorecard, views
-from siglab.plans import chunked, engine, sweep
+from siglab.plans import chunked, engine, panels, sweep
 from siglab.sources import files, gates, rejects, walks
 from siglab.streaming import bars as streaming
 from siglab.streaming import sessions
@@ -540,6 +540,17 @@ def event_bars(spark, sf_dir):
     return streaming.bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+_HALVES = f"{_sql_bars(*candidates())}, {T.segments()}, {T.kpis(_SEGMENT, 'seg', 'sk')}"
+
+
+@query(f"""{_HALVES}, w AS (SELECT series_id, config_id, max(sharpe_ratio) FILTER (WHERE segment = 'train') AS a, max(total_return) FILTER (WHERE segment = 'train') AS b, max(max_drawdown) FILTER (WHERE segment = 'train') AS c,
+ max(sharpe_ratio) FILTER (WHERE segment = 'test') AS d, max(total_return) FILTER (WHERE segment = 'test') AS e, max(max_drawdown) FILTER (WHERE segment = 'test') AS f FROM sk GROUP BY ALL)
+SELECT series_id, config_id, {T.r('a', 'train_sharpe_ratio')}, {T.r('b', 'train_total_return')}, {T.r('c', 'train_max_drawdown')}, {T.r('d', 'test_sharpe_ratio')}, {T.r('e', 'test_total_return')}, {T.r('f', 'test_max_drawdown')}
+FROM w QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY a DESC NULLS LAST, config_id) = 1""")
+def panel_selection(spark, sf_dir):
+    return panels.selection(panel(spark, sf_dir))
+
+
 @query(f"""m AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER u <= INTERVAL {sessions.GAP} SECOND THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW u AS (PARTITION BY user_id ORDER BY ts)),
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM m)
 SELECT user_id, min(ts) AS began, max(ts) + INTERVAL {sessions.GAP} SECOND AS ended, count(*) AS n, {T.r('sum(value)', 'total')} FROM i GROUP BY user_id, island""")
