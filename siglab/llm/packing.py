@@ -34,7 +34,7 @@ OPEN_BINS = 256
 TASKS = 32
 #: Runs that a worker's memory of tokenized words may hold before it starts anew, and the longest that it keeps: some
 #: hundred bytes a run at most, whatever the texts are made of.
-WORDS, LONGEST = 600_000, 48
+WORDS, LONGEST = 250_000, 48
 
 
 class Packer:

@@ -19,6 +19,7 @@ share of toxic labels (0 without labels). An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -239,9 +240,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((len(batch), len(chain.names)))
-            found = list(places(batch.column(at)))
-            for k, (first, owner, place) in enumerate(found):
-                last = found[k + 1][0] if k + 1 < len(found) else len(batch)
+            # Block by block: a block ends where the next begins, so two are held at a time.
+            for (first, owner, place), (last, *_) in itertools.pairwise(itertools.chain(places(batch.column(at)), [(len(batch), None, None)])):
                 out[first:last] = chain.predict(owner, place, last - first)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x) for x in out.T)], [f.name for f in schema.fields])
 
