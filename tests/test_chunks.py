@@ -141,3 +141,28 @@ def test_regimes_use_them(panel):
         if len(vol):
             low, high = np.quantile(vol, 0.33), np.quantile(vol, 0.90)
             assert (part[part.regime_vol <= low].vol_regime == "low").all() and (part[part.regime_vol > high].vol_regime == "stress").all()
+
+
+def test_one_long_series_is_the_work_of_many_tasks(spark):
+    """60,000 bars of one series, by chunks of 4,096: every task of the last stage has a share, and figures equal a walk in numpy."""
+    n = 60_000
+    z = np.random.default_rng(12).standard_normal(n)
+    close = 100 * np.exp(np.cumsum(0.004 * z))
+    bars = spark.createDataFrame(pd.DataFrame({"series_id": "one", "ts": pd.date_range("2000-01-01", periods=n, freq="h"), "close": close}))
+    c = StrategyConfig(signal_family="momentum", momentum_window=50, use_drawdown_guard=True, drawdown_guard_level=0.9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so little is put into one task again
+    try:
+        out = chunked.bars(bars, c, components=False, rows=4096).withColumn("task", F.spark_partition_id()).toPandas().sort_values("ts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shares = out.task.value_counts()
+    assert len(out) == n and len(shares) >= 3 and shares.max() < 0.6 * n
+    move = np.r_[0.0, close[1:] / close[:-1] - 1]
+    target = np.r_[np.full(50, np.nan), (close[50:] / close[:-50] - 1 > 0).astype(float)]
+    position = np.nan_to_num(np.r_[np.nan, target[:-1]])
+    grown = np.cumprod(1 + position * move)
+    hit = np.flatnonzero(grown / np.maximum(1, np.maximum.accumulate(grown)) - 1 <= -0.9)
+    position[hit[0] + 1 if len(hit) else n :] = 0.0
+    assert np.array_equal(out.position.to_numpy(), position)
+    turnover = np.abs(np.diff(np.r_[position[0], position]))
+    assert np.allclose(out.strategy_equity, np.cumprod(1 + position * move - turnover * c.rates.total), rtol=1e-9)
