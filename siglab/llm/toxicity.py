@@ -3,7 +3,10 @@
 Categories are predicted in a fixed order: each linear model sees the words of a text and the probabilities of
 the categories before it, and was trained with out-of-fold predictions of those, so that it meets at training
 what it will meet later. The last category is the label itself; the ones before it are drawn from the labelled
-texts by their most telling words (see :func:`categories`). Folds are made of whole groups of equal texts, and for
+texts by their most telling words (see :func:`categories`). They are no categories that anybody labelled: ``labels``
+has one flag, so "severe" and "abusive" are that flag for texts with three and with two telling words, derived targets
+that only let the chain tell strong cases first. What the chain gains over one model is what a test measures on texts
+that no choice saw. Folds are made of whole groups of equal texts, and for
 each fold everything that looks at labels is learnt anew from the other folds: which words are used, which of them
 mark toxicity, what the earlier categories are, and the weights.
 
