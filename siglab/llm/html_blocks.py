@@ -506,18 +506,32 @@ def main_blocks(pages: Sequence[Sequence[Block]], paths: Paths, network: Network
         yield [b.text for b, y in zip(page, main[data.begin[k] : data.begin[k + 1]].tolist()) if y]
 
 
-def _some(pages: DataFrame, sample: int) -> list[str]:
-    """Different pages to learn from: those with an article or main element, the first by a hash. The hashes are chosen
-    first, so that tasks send no page but the chosen ones."""
-    able = pages.filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.char_length("html") <= LONGEST)).select(F.xxhash64("html").alias("at"), "html")
+def fitted(pages: DataFrame, sample: int = SAMPLE) -> Network | None:
+    """A network fitted to different pages with an article or main element, the first by a hash, in one task; None if none
+    of them has a main block. The hashes are chosen first, so that tasks send no page but the chosen ones, and the driver
+    gets weights alone."""
+    html = F.col("html").cast("string")
+    able = pages.select(html.alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.char_length("html") <= LONGEST)).select(F.xxhash64("html").alias("at"), "html")
     chosen = [r[0] for r in able.select("at").distinct().orderBy("at").limit(sample).collect()]
-    return [r[0] for r in able.filter(F.col("at").isin(chosen)).groupBy("at").agg(F.min("html").alias("html")).orderBy("at").select("html").collect()] if chosen else []
+    if not chosen:
+        return None
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        network = learn([h for _, h in rows]) if rows else None
+        if network is not None:
+            w = network.weights
+            yield pa.RecordBatch.from_arrays([pa.array(list(w)), pa.array([list(v.shape) for v in w.values()], pa.list_(pa.int32())), pa.array([v.astype("<f4").tobytes() for v in w.values()], pa.binary())], ["name", "shape", "data"])
+
+    few = able.filter(F.col("at").isin(chosen)).groupBy("at").agg(F.min("html").alias("html")).repartition(1)
+    found = few.mapInArrow(run, "name string, shape array<int>, data binary").collect()
+    return Network({r.name: np.frombuffer(r.data, "<f4").reshape(r.shape).astype(np.float32) for r in found}) if found else None
 
 
 def extract(pages: DataFrame, sample: int = SAMPLE, block_chars: int = 1 << 22) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     slim = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    network = learn(_some(slim, sample))
+    network = fitted(slim, sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = Paths()

@@ -118,8 +118,8 @@ def test_slopes_equal_differences_of_the_loss():
 
 
 @pytest.fixture(scope="module")
-def network():
-    return html_blocks.learn(pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html.tolist())
+def network(spark):
+    return html_blocks.fitted(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
 
 
 def article(html):
