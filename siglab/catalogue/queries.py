@@ -346,7 +346,7 @@ def cost_breakdown(spark, sf_dir):
     return views.cost_breakdown(_bars(spark, sf_dir, COSTED))
 
 
-@query(f"{_sql_bars(BASE)}, d AS (SELECT *, (eq / max(eq) OVER {T.so_far(RUN)} - 1) * 100 AS dd FROM bars) SELECT series_id, config_id, {T.r('min(dd)', 'trough')}, arg_min(ts, (dd, ts)) AS trough_ts FROM d GROUP BY series_id, config_id")
+@query(f"{_sql_bars(BASE)}, d AS (SELECT *, (eq / max(eq) OVER {T.so_far(RUN)} - 1) * 100 AS dd FROM bars) SELECT series_id, config_id, {T.r('min(dd)', 'trough')}, arg_min(ts, (round(dd, 9), ts)) AS trough_ts FROM d GROUP BY series_id, config_id")
 def trough(spark, sf_dir):
     return views.trough(_bars(spark, sf_dir, BASE))
 

@@ -36,9 +36,10 @@ def drawdown(bars: DataFrame, keys: Sequence[str] = frames.KEYS) -> DataFrame:
 
 
 def trough(bars: DataFrame, keys: Sequence[str] = frames.KEYS) -> DataFrame:
-    """The deepest drawdown of each run and its first day."""
+    """The deepest drawdown of each run and its first day; drawdowns that are the same to nine digits are equally deep, as
+    the last bits of a product over flat bars depend on how it is multiplied."""
     own = _own(bars, keys)
-    return drawdown(bars, keys).groupBy(*own).agg(F.min("drawdown").alias("trough"), F.min_by("ts", F.struct("drawdown", "ts")).alias("trough_ts"))
+    return drawdown(bars, keys).groupBy(*own).agg(F.min("drawdown").alias("trough"), F.min_by("ts", F.struct(F.round("drawdown", 9), "ts")).alias("trough_ts"))
 
 
 def gross_net(bars: DataFrame, keys: Sequence[str] = frames.KEYS) -> DataFrame:
