@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siglab.functions import frames, selection
+from siglab.functions import frames
 
 # Windows of the standard feature set, names and bounds of regimes.
 TREND = (10, 20, 60)
@@ -45,13 +46,18 @@ def volatility_features(windows: Sequence[int] = VOLATILITY, keys: Sequence[str]
 
 def with_regimes(panel: DataFrame, window: int = REGIME_WINDOW, keys: Sequence[str] = frames.KEYS) -> DataFrame:
     """``panel`` with regime_vol, vol_regime and regime_order, by quantiles of each whole series (attribution only:
-    they look ahead)."""
-    vol = panel.withColumn("_ret", frames.change(F.col("close"), 1, keys)).withColumn("regime_vol", frames.full(F.stddev_pop, F.col("_ret"), window, keys)).drop("_ret")
-    cuts = selection.exact_quantiles(vol, "regime_vol", REGIME_BOUNDS, keys, "_cuts")
-    v, at = F.col("regime_vol"), lambda k: F.get("_cuts", k)
-    order = F.when(v <= at(0), 0).when(v <= at(1), 1).when(v <= at(2), 2).when(v.isNotNull() & at(0).isNotNull(), 3)
+    they look ahead). Rows without an id have no series and are left out."""
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    vol = panel.filter(known).withColumn("_ret", frames.change(F.col("close"), 1, keys)).withColumn("regime_vol", frames.full(F.stddev_pop, F.col("_ret"), window, keys)).drop("_ret")
+    # By how many values are lower, not against a quantile that another reading of the panel gave: a value that is the
+    # quantile must not differ from it in its last bits.
+    lower = F.rank().over(frames.Window.partitionBy(*keys).orderBy(F.asc_nulls_last("_known"))) - 1
+    ranked = vol.withColumn("_known", F.nanvl("regime_vol", F.lit(None))).withColumns({"_lower": lower, "_n": F.count("_known").over(frames.Window.partitionBy(*keys))})
+    low = lambda p: F.col("_lower") <= F.floor((F.col("_n") - 1) * p)
+    told = F.col("regime_vol").isNotNull() & (F.col("_n") > 0)
+    order = F.when(told & low(REGIME_BOUNDS[0]), 0).when(told & low(REGIME_BOUNDS[1]), 1).when(told & low(REGIME_BOUNDS[2]), 2).when(told, 3)
     named = F.get(F.array(*map(F.lit, REGIMES)), F.col("regime_order"))
-    return vol.join(cuts, list(keys)).withColumn("regime_order", order).withColumn("vol_regime", named).drop("_cuts")
+    return ranked.withColumn("regime_order", order).withColumn("vol_regime", named).drop("_known", "_lower", "_n")
 
 
 def feature_frame(panel: DataFrame, keys: Sequence[str] = frames.KEYS) -> DataFrame:

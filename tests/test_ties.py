@@ -2,8 +2,34 @@
 
 import datetime as dt
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from siglab.operators import views
+from siglab.operators import features, views
+from siglab.sources import walks
+
+
+@pytest.fixture
+def unsteady(spark):
+    """Makes of a panel one whose prices differ in their last bits each time that it is read, as sums over a shuffle do."""
+
+    def noisy(batches):
+        rng = np.random.default_rng()
+        for x in batches:
+            yield x.assign(close=x.close * (1 + rng.normal(size=len(x)) * 1e-13))
+
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # else both readings may be one
+    yield lambda panel: panel.mapInPandas(noisy, panel.schema)
+    spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def several(spark, days, series=8):
+    parts = [walks.seeded(spark, days, i).withColumn("series_id", F.lit(f"s{i}")) for i in range(series)]
+    for x in parts[1:]:
+        parts[0] = parts[0].unionByName(x)
+    return parts[0]
 
 
 def test_the_trough_is_the_first_of_equally_deep_days(spark):
@@ -18,3 +44,14 @@ def test_the_trough_is_the_first_of_equally_deep_days(spark):
     con.execute("CREATE TABLE bars (series_id VARCHAR, config_id INT, ts DATE, eq DOUBLE)")
     con.executemany("INSERT INTO bars VALUES (?, ?, ?, ?)", rows)
     assert con.execute("WITH " + sql[sql.rindex("d AS (SELECT *, (eq") :]).fetchone()[3] == dt.date(2024, 1, 2)
+
+
+def test_a_value_that_is_the_quantile_is_in_the_lower_regime(spark, unsteady):
+    # 161 bars have 101 volatilities, so each bound is one of them.
+    got = features.with_regimes(unsteady(several(spark, 161))).groupBy("series_id").pivot("vol_regime", list(features.REGIMES)).count().toPandas()
+    assert len(got) == 8 and all(tuple(x) == (34, 33, 24, 10) for x in got[list(features.REGIMES)].to_numpy())
+
+
+def test_rows_without_a_series_have_no_regime(spark):
+    panel = several(spark, 161, 1).withColumn("series_id", F.lit(None).cast("string"))
+    assert features.with_regimes(panel.unionByName(several(spark, 161, 1))).count() == 161
