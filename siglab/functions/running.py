@@ -77,17 +77,18 @@ def _null(values: np.ndarray) -> pa.Array:
 
 
 def thresholds(df: DataFrame, value: str, q: float, least: int, keys: Sequence[str], by: str = "ts", name: str = "thresholds_") -> DataFrame:
-    """keys and ``name``: an array of the running quantiles of each series, in the order of ``by``."""
+    """keys, ``name``, ``values_``: arrays of the running quantiles of each series and of the values, in the order of ``by``."""
     slim = df.select(*keys, by, value)
-    kinds = T.StructType([*(slim.schema[k] for k in keys), T.StructField(name, T.ArrayType(T.DoubleType()))])
+    kinds = T.StructType([*(slim.schema[k] for k in keys), T.StructField(name, T.ArrayType(T.DoubleType())), T.StructField("values_", T.ArrayType(slim.schema[value].dataType))])
 
     def run(rows: pa.Table) -> pa.Table:
         if any(rows.column(k)[0].as_py() is None for k in keys):
             raise ValueError(f"Series need an id for a running quantile; {', '.join(keys)} has a null.")
         rows = rows.sort_by(by)
         found = _null(expanding(_numbers(rows.column(value)), q, least))
-        held = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
-        return pa.table([*(rows.column(k).slice(0, 1) for k in keys), held], names=[*keys, name])
+        own = rows.column(value).combine_chunks()
+        held = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (found, own)]
+        return pa.table([*(rows.column(k).slice(0, 1) for k in keys), *held], names=[*keys, name, "values_"])
 
     return slim.groupBy(*keys).applyInArrow(run, kinds)
 
@@ -96,11 +97,13 @@ def with_quantile(df: DataFrame, value: str, q: float, least: int, name: str, ke
     """``df`` with ``name``: the q-quantile of ``value`` over the rows so far, once there are ``least`` values.
 
     Only (keys, by, value) go through Python; the result comes back as one row a series, joined on ``keys``, so
-    rows that are partitioned by ``keys`` stay where they are.
+    rows that are partitioned by ``keys`` stay where they are. ``value`` is given as the quantile saw it: where it is
+    that quantile, a second computation of ``df`` could differ from it in its last bits.
     """
     found = thresholds(df, value, q, least, keys, by)
     placed = df.withColumn("place_", F.row_number().over(Window.partitionBy(*keys).orderBy(by)) - 1)
-    return placed.join(found, list(keys), "left").select(*(F.col(f"`{c}`") for c in df.columns), F.get("thresholds_", F.col("place_")).alias(name))
+    seen = lambda c: F.get("values_", F.col("place_")).alias(c) if c == value else F.col(f"`{c}`")
+    return placed.join(found, list(keys), "left").select(*map(seen, df.columns), F.get("thresholds_", F.col("place_")).alias(name))
 
 
 def _splitters(df: DataFrame, keys: Sequence[str], value: str, rows: int) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siglab.operators import features, views
+from siglab.config import StrategyConfig
+from siglab.operators import families, features, views
 from siglab.sources import walks
 
 
@@ -55,3 +56,12 @@ def test_a_value_that_is_the_quantile_is_in_the_lower_regime(spark, unsteady):
 def test_rows_without_a_series_have_no_regime(spark):
     panel = several(spark, 161, 1).withColumn("series_id", F.lit(None).cast("string"))
     assert features.with_regimes(panel.unionByName(several(spark, 161, 1))).count() == 161
+
+
+FILTERED = StrategyConfig(signal_family="composite", use_volatility_filter=True)
+
+
+def test_the_filter_passes_a_volatility_that_is_its_threshold(spark, unsteady):
+    panel = several(spark, 600)
+    got, want = (families.signal_frame(x, FILTERED).select("series_id", "ts", "risk_on", "target_position").toPandas().sort_values(["series_id", "ts"], ignore_index=True) for x in (unsteady(panel), panel))
+    assert got.equals(want)
