@@ -2,7 +2,8 @@
 
 Rows are numbered in two levels and cut into chunks. Features, signals and exposures are windows over chunks that are
 lent the rows before them; the guard, costs and equities are scans: totals of chunks, a running aggregate over the
-totals, then the rows. The filter's threshold comes from look-ups over blocks of values.
+totals, then the rows. The filter's threshold comes from look-ups over blocks of values. All of these read the panel, so
+it is written once first: numbers that differed between two readings would not be found where they were counted.
 
 For many series of moderate length :func:`engine.bars` does with one exchange; this is for series that one task
 shouldn't read alone. Series need an id.
@@ -19,6 +20,7 @@ from siglab.config import StrategyConfig
 from siglab.functions import chunks, frames, running
 from siglab.operators import costs, exposure, families
 from siglab.plans import engine
+from siglab.sources import store
 
 
 class _Joined(families.Shared):
@@ -59,7 +61,7 @@ def bars(panel: DataFrame, configs: Sequence[StrategyConfig] | StrategyConfig, k
         raise ValueError("At least one configuration is needed.")
     keys = list(keys)
     run, inner = [*keys, engine.CONFIG], [*keys, chunks.CHUNK]
-    placed = with_thresholds(numbered(panel, keys, rows), configs, keys, rows)
+    placed = with_thresholds(numbered(store.once(panel), keys, rows), configs, keys, rows)
     wide = engine.exposures(chunks.lent(placed, keys, lookback(configs), rows), configs, _Joined(inner), len(configs) == 1 if components is None else components)
     held = exposure.lagged(wide, [*inner, engine.CONFIG])
     earlier = {"before_": frames.back(F.col("position"), 1, [*inner, engine.CONFIG])}

@@ -7,6 +7,9 @@ and over (series, configuration), read it in place.
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from siglab.functions import frames
 
 #: Series and rows that a bucket is meant to hold; more buckets are more tasks.
 ROWS_A_BUCKET = 4_000_000
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def buckets_for(panel: DataFrame, rows: int = ROWS_A_BUCKET) -> int:
@@ -44,3 +48,31 @@ def append(panel: DataFrame, table: str) -> DataFrame:
 
 def read(spark: SparkSession, table: str) -> DataFrame:
     return spark.table(table)
+
+
+def once(panel: DataFrame) -> DataFrame:
+    """``panel`` as written below the shared folder (``spark.checkpoint.dir``) and read back: every use reads the same
+    numbers, where sums over a shuffle would differ in their last bits each time. Deleted when the driver process ends."""
+    spark = panel.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share.")
+        shared = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siglab_checkpoints"
+    path = f"{shared.rstrip('/')}/siglab/{spark.sparkContext.applicationId}/panel-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    panel.write.parquet(path)
+    return spark.read.schema(panel.schema).parquet(path)
+
+
+def _release() -> None:
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may already have ended
+            continue
+
+
+atexit.register(_release)

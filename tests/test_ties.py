@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from siglab.config import StrategyConfig
 from siglab.operators import families, features, views
+from siglab.plans import chunked, engine
 from siglab.sources import walks
 
 
@@ -65,3 +66,10 @@ def test_the_filter_passes_a_volatility_that_is_its_threshold(spark, unsteady):
     panel = several(spark, 600)
     got, want = (families.signal_frame(x, FILTERED).select("series_id", "ts", "risk_on", "target_position").toPandas().sort_values(["series_id", "ts"], ignore_index=True) for x in (unsteady(panel), panel))
     assert got.equals(want)
+
+
+def test_bars_by_chunks_read_one_panel(spark, unsteady):
+    panel = several(spark, 600)
+    kept = ["series_id", "ts", "position"]
+    got, want = (x.select(*kept).toPandas().sort_values(["series_id", "ts"], ignore_index=True) for x in (chunked.bars(unsteady(panel), FILTERED, rows=200), engine.bars(panel, FILTERED)))
+    assert got.equals(want)
