@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from siglab.llm import shingles, storage
 
-#: Lots of a prefix bucket in the first turn, each with a leader, and by how much each further turn multiplies them. A
-#: turn makes at most as many rows as entries times lots, and few leaders suffice for most of a large group to join.
+#: About how many leaders a prefix bucket has in the first turn, and by how much each further turn multiplies them. A
+#: turn makes about as many rows as entries times leaders, and few leaders suffice for most of a large group to join.
 FIRST, LEADERS = 16, 16
 #: Frequent hashes that the order of prefixes knows.
 LISTED = 50_000
@@ -77,6 +77,21 @@ def connected(links: DataFrame, scratch: storage.Scratch) -> DataFrame:
             return label
 
 
+def hooked(links: DataFrame, scratch: storage.Scratch) -> DataFrame:
+    """node, class_id of every node that ``links`` (a, b) link to a lesser one: it takes the least of those, that one's own
+    and so on. Nodes of one class are connected, but some that are connected may be left apart: of two links of a node
+    to lesser ones, only one counts. :func:`connected` says all; this costs a few exchanges."""
+    ends = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).filter("node <> to")
+    label = scratch.keep(ends.groupBy("node").agg(F.min("to").alias("class_id")), "labels")
+    while True:
+        up = label.select(F.col("node").alias("class_id"), F.col("class_id").alias("up"))
+        new = scratch.keep(label.join(up, "class_id", "left").select("node", F.coalesce("up", "class_id").alias("class_id"), F.col("up").isNotNull().alias("moved")), "labels")
+        scratch.drop(label)
+        label = new
+        if label.filter("moved").isEmpty():
+            return label
+
+
 def text_key(text: Column) -> Column:
     """By which the rows of one ``doc_id`` are told apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -159,26 +174,13 @@ def hashes_again(docs: DataFrame, wanted: DataFrame, width: int, weighted: bool)
 def _alike(threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            kept: dict = {}
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3))):
-                left = kept.get(a)
-                if left is None:
-                    kept = {a: (left := np.frombuffer(x.as_buffer(), np.uint32))}
-                ok[i] = shingles.jaccard(left, np.frombuffer(y.as_buffer(), np.uint32)) >= threshold
+            x, y = (([np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(k)]) for k in ("x", "y"))
+            ok = np.array([shingles.jaccard(one, other) >= threshold for one, other in zip(x, y)], bool)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose elements are alike enough; ``sets``: node, hashes, size."""
-    other = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"), F.col("size").alias("n")), "b")
-    both = other.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"), F.col("size").alias("m")), "a")
-    possible = both.filter(F.least("m", "n") >= F.lit(threshold - 1e-9) * F.greatest("m", "n"))
-    return possible.select("a", "b", "x", "y").mapInArrow(_alike(threshold), "a long, b long")
-
-
 def frequent(sets: DataFrame, scratch: storage.Scratch, most: int = LISTED) -> dict[int, int]:
     """Hashes that many of the sets hold, with about how many: counted within tasks, those met twice there or more
     added up, the highest, ``most`` at most. Only the order of hashes comes from it, so it changes costs, never results."""
@@ -228,11 +230,16 @@ def prefixes(sets: DataFrame, threshold: float, often: dict[int, int]) -> DataFr
     return sets.select("node", "hashes").mapInArrow(run, "node long, key long, pos int")
 
 
-def _several(entry: DataFrame, classes: DataFrame, scratch: storage.Scratch) -> DataFrame | None:
-    """``entry`` with its present classes, where a bucket (key) has several of them; None where none has."""
-    own = [c for c in entry.columns if c != "class_id"]
-    told = scratch.keep(entry.select(own).join(classes.select("node", "class_id"), "node", "left").select(*own, F.coalesce("class_id", "node").alias("class_id")), "classed")
-    several = told.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x <> y").select("key")
+def _several(entry: DataFrame, classes: DataFrame | None, scratch: storage.Scratch) -> DataFrame | None:
+    """``entry`` where a bucket (key) has several classes, with ``n``, the bucket's rows; None where none has. A class_id
+    that is a node of ``classes`` becomes that node's class first."""
+    own = [c for c in entry.columns if c not in ("class_id", "n")]
+    told = entry.select("class_id", *own)
+    if classes is not None:
+        now = classes.select(F.col("node").alias("class_id"), F.col("class_id").alias("now"))
+        told = told.join(now, "class_id", "left").select(F.coalesce("now", "class_id").alias("class_id"), *own)
+    told = scratch.keep(told, "classed")
+    several = told.groupBy("key").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.count("*").alias("n")).filter("x <> y").select("key", "n")
     rest = scratch.keep(told.join(several, "key"), "unsettled")
     scratch.drop(told)
     if not rest.isEmpty():
@@ -241,42 +248,65 @@ def _several(entry: DataFrame, classes: DataFrame, scratch: storage.Scratch) ->
     return None
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, coordinates: int, threshold: float, scratch: storage.Scratch) -> DataFrame:
-    """Those of the pairs (a, b) that are alike enough: by length and sketch first, then by their elements."""
+def _differ(wide: range) -> Column:
+    """Bits in which two sketches b0, b1, ... and c0, c1, ... differ."""
+    return sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, coordinates: int, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b; some of them repeated) that are alike enough: by length and sketch first, then by their elements.
+
+    Pairs are dealt by b, of which each has few, for both their repeats and b's sketch; then a's sketch and elements are
+    met, where adaptive execution can split those of one a; only what is likely meets b's elements."""
     wide = range(-(-coordinates // 16))
-    brief = lambda node, size, bit: sets.select(F.col("node").alias(node), F.col("size").alias(size), *(F.get("bits", k).alias(f"{bit}{k}") for k in wide))
-    alike = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0)) <= differing(coordinates, threshold)
-    both = pairs.join(brief("b", "n", "b"), "b").join(brief("a", "m", "c"), "a").filter(alike & (F.least("m", "n") >= F.lit(threshold - 1e-9) * F.greatest("m", "n")))
-    likely = scratch.keep(both.select("a", "b"), "pairs")
-    found = scratch.keep(verified(likely, sets, threshold), "links")
-    scratch.drop(likely)
-    return found
+    brief = lambda bit: (F.get("bits", k).alias(f"{bit}{k}") for k in wide)
+    once = pairs.select("a", "b").repartition("b").distinct().join(sets.select(F.col("node").alias("b"), F.col("size").alias("n"), *brief("b")), "b")
+    both = once.join(sets.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("hashes").alias("x"), *brief("c")), "a")
+    likely = both.filter((_differ(wide) <= differing(coordinates, threshold)) & (F.least("m", "n") >= F.lit(threshold - 1e-9) * F.greatest("m", "n")))
+    met = likely.select("a", "b", "x").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return met.select("a", "b", "x", "y").mapInArrow(_alike(threshold), "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the classes (low, high) of pairs of nodes (one, other; some of them repeated) whose elements
+    are alike enough; ``sets``: node, hashes, size. Pairs are dealt by ``one``, of which each has few."""
+    once = pairs.select("one", "other", "low", "high").repartition("one").distinct()
+    met = once.join(sets.select(F.col("node").alias("one"), F.col("hashes").alias("x"), F.col("size").alias("m")), "one")
+    both = met.join(sets.select(F.col("node").alias("other"), F.col("hashes").alias("y"), F.col("size").alias("n")), "other")
+    possible = both.filter(F.least("m", "n") >= F.lit(threshold - 1e-9) * F.greatest("m", "n"))
+    return possible.select(F.col("low").alias("a"), F.col("high").alias("b"), "x", "y").mapInArrow(_alike(threshold), "a long, b long")
+
 
+def _leads(lots: int) -> Column:
+    """Whether a row leads its bucket of n rows in the turn of so many leaders: all do where that many suffice, else
+    those whose node has a low hash, so that one node leads in many of its buckets."""
+    return (F.col("n") <= lots) | (F.pmod(F.xxhash64("node", F.lit(lots)), F.lit(1 << 31)) * F.col("n") < F.lit(lots << 31))
 
-def _settle(left: DataFrame, classes: DataFrame, links: DataFrame, coordinates: int, threshold: float, scratch: storage.Scratch) -> DataFrame:
-    """Classes once all pairs of the sets ``left`` that could be linked have been compared by prefix buckets."""
-    most, wide = differing(coordinates, threshold), range(-(-coordinates // 16))
+
+def _settle(left: DataFrame, classes: DataFrame, coordinates: int, threshold: float, scratch: storage.Scratch) -> list[DataFrame]:
+    """Links (a, b), between nodes or classes, once all pairs of the sets ``left`` that could be linked have been compared by
+    prefix buckets, but for those whose class was known to be one; ``classes`` are those known from before."""
+    wide, found = range(-(-coordinates // 16)), []
     keyed = prefixes(left, threshold, frequent(left, scratch)).join(left.select("node", "size", *(F.get("bits", k).alias(f"b{k}") for k in wide)), "node")
-    entry = scratch.keep(keyed, "prefixes")
+    entry = scratch.keep(keyed.withColumn("class_id", F.col("node")), "prefixes")
     rest, lots = _several(entry, classes, scratch), FIRST
     scratch.drop(entry)
-    alike = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"c{k}"))) for k in wide), F.lit(0)) <= most
     enough = F.least(F.col("size") - F.col("pos"), F.col("long") - F.col("place")) >= (F.col("size") + F.col("long")) * (threshold / (1 + threshold)) - 1e-6
+    told = {"leader": "node", "led": "class_id", "long": "size", "place": "pos"} | {f"c{k}": f"b{k}" for k in wide}
     while rest is not None:
-        lot = F.pmod(F.xxhash64("node", F.lit(lots)), F.lit(lots)).alias("lot")
-        told = {"led": "class_id", "long": "size", "place": "pos"} | {f"c{k}": f"b{k}" for k in wide}
-        leader = scratch.keep(rest.groupBy("key", lot).agg(F.min("node").alias("leader"), *(F.min_by(y, "node").alias(x) for x, y in told.items())).drop("lot"), "leaders")
-        met = rest.join(leader, "key").filter((F.col("class_id") != F.col("led")) & enough & alike)
-        found = scratch.keep(verified(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), left, threshold), "links")
-        if not found.isEmpty():
-            links, old = links.union(found), classes
-            classes = connected(links, scratch)
-            scratch.drop(old)
-        gone = leader.select("key", F.col("leader").alias("node"))
-        after = _several(rest.join(gone, ["key", "node"], "left_anti"), classes, scratch)
-        scratch.drop(rest, leader)
-        rest, lots = after, lots * LEADERS
-    return classes
+        leader = rest.filter(_leads(lots)).select("key", *(F.col(y).alias(x) for x, y in told.items()))
+        once = ~_leads(lots) | (F.col("node") > F.col("leader"))
+        met = rest.join(leader, "key").filter((F.col("class_id") != F.col("led")) & once & enough & (_differ(wide) <= differing(coordinates, threshold)))
+        pairs = met.select(F.col("node").alias("one"), F.col("leader").alias("other"), F.least("class_id", "led").alias("low"), F.greatest("class_id", "led").alias("high"))
+        found.append(scratch.keep(verified(pairs, left, threshold), "links"))
+        others, was, now = rest.filter(~_leads(lots)), rest, None  # leaders have met all of their buckets
+        if others.isEmpty():
+            rest = None
+        else:
+            now = None if found[-1].isEmpty() else hooked(found[-1], scratch)
+            rest, lots = _several(others, now, scratch), lots * LEADERS
+        scratch.drop(was, now)
+    return found
 
 
 def near_classes(docs: DataFrame, describe: Describe, coordinates: int, threshold: float = shingles.THRESHOLD, width: int = shingles.WIDTH, weighted: bool = False, store: bool = True) -> DataFrame:
@@ -291,9 +321,9 @@ def near_classes(docs: DataFrame, describe: Describe, coordinates: int, threshol
     with storage.Scratch(spark, broadcasts=False) as scratch:  # both sides of every join here grow with the table
         told = scratch.keep(describe_texts(docs, describe, width, weighted, store).withColumn("row", F.monotonically_increasing_id()), "described")
         first = scratch.keep(told.groupBy("set_a", "set_b").agg(F.min("row").alias("node")), "nodes")
-        member = scratch.keep(told.select("doc_id", "text_key", "set_a", "set_b").join(first, ["set_a", "set_b"]).select("doc_id", "text_key", "node"), "members")
-        nodes = told.filter("size > 0").join(first.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
-        each = nodes.select("node", F.explode("keys").alias("key"))
+        keys = F.when((F.col("row") == F.col("node")) & (F.col("size") > 0), F.col("keys")).alias("keys")  # a node has one row's
+        member = scratch.keep(told.select("doc_id", "text_key", "set_a", "set_b", "row", "size", "keys").join(first, ["set_a", "set_b"]).select("doc_id", "text_key", "node", keys), "members")
+        each = member.filter("keys is not null").select("node", F.explode("keys").alias("key"))
         leader = scratch.keep(each.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("key", "leader"), "leaders")
         entry = scratch.keep(each.join(leader, "key"), "entries")
         scratch.drop(first, leader)
@@ -306,25 +336,19 @@ def near_classes(docs: DataFrame, describe: Describe, coordinates: int, threshol
             scratch.drop(told)
             sets = scratch.keep(hashes_again(docs, slim, width, weighted).join(slim.select("node", "bits"), "node"), "sets")
             scratch.drop(slim)
-        # First each node meets one leader, the least of its buckets'; then the leaders of buckets that still have several classes.
-        own = entry.filter("node <> leader").groupBy("node").agg(F.min("leader").alias("a")).select("a", F.col("node").alias("b"))
-        links = _linked(own, sets, coordinates, threshold, scratch)
-        classes = connected(links, scratch)
-        rest = _several(entry, classes, scratch)
+        # First each node meets the leaders of its buckets; then what is in buckets that still have several classes goes on.
+        links = scratch.keep(_linked(entry.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, coordinates, threshold), "links")
+        classes = hooked(links, scratch)
+        rest = _several(entry.select("node", "key", F.col("node").alias("class_id")), classes, scratch)
         scratch.drop(entry)
-        if rest is not None:
-            led = rest.filter("node = leader").select("key", F.col("class_id").alias("led"))
-            met = rest.filter("node <> leader").join(led, "key").filter("class_id <> led").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-            found = _linked(met, sets, coordinates, threshold, scratch)
-            if not found.isEmpty():
-                links, old, was = links.union(found), classes, rest
-                classes = connected(links, scratch)
-                rest = _several(was, classes, scratch)
-                scratch.drop(old, was)
         if rest is not None:
             left = scratch.keep(sets.join(rest.select("node").distinct(), "node", "left_semi"), "unsettled-sets")
             scratch.drop(rest, sets)
-            classes = _settle(left, classes, links, coordinates, threshold, scratch)
+            for more in _settle(left, classes, coordinates, threshold, scratch):
+                links = links.union(more)
+            scratch.drop(left)
+        scratch.drop(classes)
+        classes = connected(links, scratch)
         place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
         own = member.join(classes.select("node", "class_id"), "node", "left").select("doc_id", "text_key", F.coalesce("class_id", "node").alias("class"))
         own = scratch.keep(own, "own-classes")

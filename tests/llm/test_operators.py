@@ -499,6 +499,36 @@ def test_a_large_group_of_near_copies_is_one_class(spark, docs):
     assert sorted(kept) == [0, *range(900, 930)]
 
 
+def test_copies_about_the_threshold_are_joined_in_one_pass_over_the_links(spark, docs, monkeypatch):
+    """Many pairs of the group are just too unlike, so its buckets hold several classes over several turns; components of
+    all links are still looked for once, and classes are those of all pairs."""
+    rng, base, rows = random.Random(3), words(91, 200).split(), []
+    for i in range(90):
+        own = list(base)
+        for at in rng.sample(range(6, 194), 2 + i % 3):
+            own[at] = f"z{i}x{at}"
+        rows.append((i, " ".join(own)))
+    calls, whole = [], components.connected
+    monkeypatch.setattr(components, "connected", lambda links, scratch: calls.append(1) or whole(links, scratch))
+    monkeypatch.setattr(components, "FIRST", 4)
+    monkeypatch.setattr(components, "LEADERS", 4)
+    got = {r.doc_id: r.class_id for r in dart_dedup.near_classes(docs(rows)).collect()}
+    want = list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    for _ in want:
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    assert got == dict(enumerate(want)) and 1 < len(set(want)) and len(links) > 50
+    assert len(calls) == 1
+
+
+def test_least_links_are_followed_to_their_end(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 41), (40, 42), (42, 39), (50, 50)], "a long, b long")
+    with storage.Scratch(spark) as scratch:
+        got = {r.node: r.class_id for r in components.hooked(links, scratch).collect()}
+    assert got == dict.fromkeys(range(1, 21), 0) | {41: 40, 42: 39}
+
+
 def test_texts_under_one_id_are_kept_each_for_itself(spark, docs):
     a, b, c = (words(i, 80) for i in (1, 2, 3))
     near = changed(b, 70, 1)
