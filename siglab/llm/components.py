@@ -3,14 +3,14 @@
 Rows are known by a row number, never by ``doc_id``, so texts that share an id stay apart. Texts with the same
 elements (shingles, or with ``weighted`` shingles and their occurrences) are one node from the start, however many
 they are. Each bucket has one leader, its least node, which a partial aggregate finds whatever the bucket's size. A
-node is compared with the least of its leaders, then, in buckets that still have several classes, with the others.
-Buckets that are then one class are done. The nodes of the others are keyed anew, by the rarest
-fifth of their elements (prefix filtering), which is exact: nodes that are alike enough share such a key, while
+node is compared with all leaders of its buckets. Buckets that are then one class are done. The nodes of the
+others are keyed anew, by the rarest fifth of their elements (prefix filtering), which is exact: nodes that are alike enough share such a key, while
 nodes that share only what many have do not.
-There leaders of more and more lots meet their buckets, and leave them, until every two nodes of a bucket that
+There more and more leaders, those of low hash, meet their buckets, and leave them, until every two nodes of a bucket that
 are of different classes have been compared: first, within the join itself, by length, by the places of the
 shared key (what is behind them must suffice for the overlap) and by sketches of their signatures, then by their
-elements. Links become classes by passing on the least node, with pointer jumping.
+elements. Between turns a class takes the least that it is linked with, which may leave some apart for a turn; at the
+end all links become classes by passing on the least node, with pointer jumping.
 
 Every step is written to the shared folder and deleted when its successor is there; a lost executor costs no more
 than the tasks of one step.
